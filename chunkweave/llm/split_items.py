@@ -53,12 +53,11 @@ def cut(size: int, marks: list[int], limit: int, overlap: int) -> list[tuple[int
     while size - start > limit:
         at = bisect_right(marks, start + limit) - 1
         stop = marks[at] if at >= 0 and marks[at] > start else start + limit
-        # a boundary inside the overlap of this piece would repeat the same start
         how = "natural" if stop != start + limit or (at >= 0 and marks[at] == stop) else "forced"
         out.append((start, stop, how))
         back = max(start + 1, stop - overlap)
         i = bisect_left(marks, back)
-        nxt = marks[i] if i < len(marks) and marks[i] < stop else (back if how == "forced" else stop)
+        nxt = marks[i] if i < len(marks) and marks[i] < stop else back
         # the next piece must be able to reach past this stop
         start = nxt if _passes(nxt, stop, marks, limit, size) else stop
     out.append((start, size, "end"))
