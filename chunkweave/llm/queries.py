@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import leaks, similar_vectors, source_mix, split_items
+from chunkweave.llm import leaks, similar_sets, similar_vectors, source_mix, split_items
 from chunkweave.session import stage
 from chunkweave.sources.tables import current_chunks, current_nodes, table
 
@@ -68,6 +68,34 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return source_mix.realise(counts, source_mix.plan_mix(counts, table(spark, d, "source_targets")))
 
 
+def _one_blank(c: F.Column) -> F.Column:
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    """``key, owner, members``: clean keywords, and clean names behind their type, of each chunk.
+
+    The key is (field, chunk_id) and each member carries its field, so one pass serves both fields.
+    """
+    rows = current_chunks(table(spark, d, "chunks"), ["source_nid", "keywords", "entities"])
+    keywords = F.filter(F.transform("keywords", lambda k: F.lower(_one_blank(k))), lambda k: k != "")
+    named = F.filter("entities", lambda e: _one_blank(e["name"]) != "")
+    names = F.transform(named, lambda e: F.concat(F.coalesce(e["type"], F.lit("")), F.lit(":"), F.lower(_one_blank(e["name"]))))
+    fields = F.array(
+        F.struct(F.lit("entities").alias("field"), F.transform(names, lambda m: F.concat(F.lit("entities "), m)).alias("members")),
+        F.struct(F.lit("keywords").alias("field"), F.transform(keywords, lambda m: F.concat(F.lit("keywords "), m)).alias("members")),
+    )
+    return rows.select("chunk_id", F.col("source_nid").alias("owner"), F.explode(fields).alias("x")).select(
+        F.struct("x.field", "chunk_id").alias("key"), "owner", "x.members"
+    )
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_sets.similar_pairs(_sets(spark, d), 0.6, 4).select(
+        "key_a.field", F.col("key_a.chunk_id").alias("chunk_id_a"), F.col("key_b.chunk_id").alias("chunk_id_b")
+    )
+
+
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The 5 nearest chunks of each chunk, with cosine."""
     return similar_vectors.nearest(table(spark, d, "chunks"), k=5)
@@ -79,6 +107,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_nearest": p2_nearest,
         "p5_found": p5_found,
@@ -91,6 +120,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_P1 = r"""
+  WITH c AS (SELECT chunk_id, max_by(source_nid, synced_at) AS nid, max_by(keywords, synced_at) AS k, max_by(entities, synced_at) AS e
+             FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+  m AS (SELECT 'keywords' AS field, chunk_id, nid, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS m FROM (SELECT chunk_id, nid, unnest(k) AS x FROM c)
+        WHERE trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''
+        UNION SELECT 'entities', chunk_id, nid, coalesce(x.type, '') || ':' || lower(trim(regexp_replace(x.name, '\s+', ' ', 'g')))
+        FROM (SELECT chunk_id, nid, unnest(e) AS x FROM c) WHERE trim(regexp_replace(x.name, '\s+', ' ', 'g')) <> ''),
+  n AS (SELECT field, chunk_id, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 4),
+  s AS (SELECT m.*, n.n FROM m JOIN n USING (field, chunk_id))
+  SELECT a.field, a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b
+  FROM s a JOIN s b ON a.field = b.field AND a.m = b.m AND a.chunk_id < b.chunk_id AND a.nid IS DISTINCT FROM b.nid
+  GROUP BY ALL HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+"""
+
 _P5_LONG = """
   WITH n AS (SELECT nid, body, row_number() OVER (PARTITION BY nid ORDER BY changed_at DESC, body) AS r FROM nodes WHERE nid IS NOT NULL),
   c AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE length(text) > 1200 GROUP BY chunk_id),
@@ -109,6 +152,7 @@ _P6_RUNS = r"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
         "p5_found": _P5_LONG
         + r"""
   SELECT item_kind, item_key,
