@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import leaks, similar_sets, similar_vectors, source_mix, split_items
+from chunkweave.llm import cut_texts, leaks, similar_sets, similar_vectors, source_mix, split_items
 from chunkweave.session import stage
 from chunkweave.sources.tables import current_chunks, current_nodes, table
 
@@ -105,6 +105,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.neighbour_pairs(p2_nearest(spark, d))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return cut_texts.judge(docs.select("doc_id", source_mix.clean_source("source").alias("source"), "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("is_cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts.rates(_judged(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -117,6 +130,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_plan": p7_plan,
         "p7_mix": p7_mix,
+        "p8_found": p8_found,
+        "p8_rates": p8_rates,
     }
 
 
