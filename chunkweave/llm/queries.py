@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkweave.llm import cut_texts, leaks, similar_sets, similar_vectors, source_mix, split_items
+from chunkweave.llm import cut_texts, leaks, name_variants, similar_sets, similar_vectors, source_mix, split_items
 from chunkweave.session import stage
 from chunkweave.sources.tables import current_chunks, current_nodes, table
 
@@ -15,6 +15,16 @@ BODY_LIMIT, BODY_OVERLAP = 6_000, 200
 CHUNK_LIMIT, CHUNK_OVERLAP = 1_200, 80
 
 
+def p4_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every PERSON and ORG name with its bearer."""
+    rows = table(spark, d, "chunks").select("source_nid", F.explode("entities").alias("e"))
+    return name_variants.link_names(rows.select("e.name", "e.type", F.col("source_nid").alias("context")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.name_pairs(p4_names(spark, d))
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     bodies = current_nodes(table(spark, d, "nodes"), ["body"]).select(
         F.lit("body").alias("item_kind"), F.col("nid").cast("string").alias("item_key"), F.col("body").alias("text"),
@@ -123,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_nearest": p2_nearest,
+        "p4_found": p4_found,
+        "p4_names": p4_names,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
         "p6_found": p6_found,
