@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from chunkweave.llm import cut_texts, leaks, name_variants, similar_sets, similar_vectors, source_mix, split_items
+from chunkweave.llm import cut_texts, leaks, name_variants, reading_level, similar_sets, similar_vectors, source_mix, split_items
 from chunkweave.session import stage
 from chunkweave.sources.tables import current_chunks, current_nodes, table
 
@@ -15,6 +16,33 @@ BODY_LIMIT, BODY_OVERLAP = 6_000, 200
 CHUNK_LIMIT, CHUNK_OVERLAP = 1_200, 80
 
 
+def _band_of(label: F.Column) -> F.Column:
+    """The two numbers of an age band in whatever spelling, as '9-12'; null without two numbers."""
+    ages = F.regexp_extract_all(label, F.lit(r"(\d+)"), 1)
+    return F.when(F.size(ages) == 2, F.concat_ws("-", ages))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    nodes = current_nodes(table(spark, d, "nodes"), ["body", "age_range", "type"]).withColumn("band", _band_of(F.col("age_range")))
+    order = Window.orderBy("tid")  # four rows
+    bands = table(spark, d, "terms").select(_band_of(F.col("label")).alias("band"), (F.row_number().over(order) - 1).alias("label"))
+    rows = nodes.join(F.broadcast(bands), "band", "left").select(F.col("nid").alias("key"), F.col("type").alias("source"), "label", F.col("body").alias("text"))
+    return reading_level.score_levels(rows, 4)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where((F.col("n_words") >= 60) & (F.abs(F.col("level") - F.col("label")) >= 2)).select(F.col("key").alias("nid"))
+
+
+def p3_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Score and band of every node's body, beside its stated band."""
+    return _levels(spark, d).select(F.col("key").alias("nid"), "n_words", F.col("label").alias("stated"), "score", "level")
+
+
+def p3_quality(spark: SparkSession, d: str) -> DataFrame:
+    return reading_level.quality(_levels(spark, d).where("n_words >= 60"))
+
+
 def p4_names(spark: SparkSession, d: str) -> DataFrame:
     """Every PERSON and ORG name with its bearer."""
     rows = table(spark, d, "chunks").select("source_nid", F.explode("entities").alias("e"))
@@ -133,6 +161,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_nearest": p2_nearest,
+        "p3_found": p3_found,
+        "p3_levels": p3_levels,
+        "p3_quality": p3_quality,
         "p4_found": p4_found,
         "p4_names": p4_names,
         "p5_found": p5_found,
