@@ -76,14 +76,19 @@ def exact_search(queries: DataFrame, rows: DataFrame, k: int, dim: int = config.
                 if metric == "cosine":
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 ids = np.array(b.column("id").to_pylist(), object)
+                at_id = {i: n for n, i in enumerate(ids)}
                 tag = np.array(b.column("tag").to_pylist(), object)
+                other = {t: tag != t for t in set(tags) if t is not None}
                 for a in range(0, len(names), 256):
                     s = np.round(v[a : a + 256] @ x.T, DIGITS)
                     for i in range(len(s)):
                         q = a + i
-                        keep = ids != own[q] if tags[q] is None else (ids != own[q]) & (tag == tags[q])
-                        edge = held[q][1][-1] if len(held[q][1]) == k else -np.inf
-                        at = np.nonzero(keep & (s[i] >= edge))[0]
+                        if (n := at_id.get(own[q])) is not None:
+                            s[i, n] = -np.inf
+                        if tags[q] is not None:
+                            s[i, other[tags[q]]] = -np.inf
+                        edge = held[q][1][-1] if len(held[q][1]) == k else -1e300
+                        at = np.nonzero(s[i] >= edge)[0]
                         if len(at):
                             held[q] = _best(np.concatenate([held[q][0], ids[at]]), np.concatenate([held[q][1], s[i, at]]), k)
             for name, (ids, sims) in zip(names, held):
