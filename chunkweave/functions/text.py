@@ -10,7 +10,7 @@ from chunkweave import config
 from chunkweave.functions.lexicon import STOP_WORDS
 
 #: Comments first, then tags whose quoted attributes may hold '>'.
-TAGS = r"""<!--[\s\S]*?-->|<[!/?a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+TAGS = r"""<!--[\s\S]*?-->|<[!/?a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 ANSWER = T.StructType([
     T.StructField("response_type", T.StringType()),

@@ -207,3 +207,18 @@ def index_search(rows: DataFrame, k: int, probes: int = 6, dim: int = config.DIM
     hits = data.unionByName(asked).groupBy("cell", "part", "turn").applyInArrow(search, "query string, id string, score double")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def cell_sizes(rows: DataFrame, dim: int = config.DIM, seed: int = 3) -> DataFrame:
+    """``cell, n``: rows of ``rows(id, vector)`` whose nearest centroid it is."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(fit_centroids(rows, dim, seed).astype(np.float32))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = matrix(b.column("vector"), dim)
+                v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array((v @ sent.value.T).argmax(axis=1).astype(np.int32))], ["cell"])
+
+    return rows.select("vector").mapInArrow(place, "cell int").groupBy("cell").agg(F.count("*").alias("n"))

@@ -85,18 +85,29 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, weights
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def traverse(queries: DataFrame, chunks: DataFrame, edges: Edges, signals: DataFrame) -> dict[str, DataFrame]:
-    """The phases up to reranking, each written once because later phases read it again."""
+def traverse(queries: DataFrame, chunks: DataFrame, edges: Edges, signals: DataFrame, upto: str = "best") -> dict[str, DataFrame]:
+    """The phases down to ``upto``, each written once because later phases read it again."""
     queries = answerable(queries)
-    found = stage(seeds(queries, chunks), "seeds")
-    hop1 = stage(hop(found, found, edges), "hop1")
-    start = stage(expand_from(hop1, queries, chunks), "start")
-    seen = found.select("query_id", "chunk_id").unionByName(hop1.select("query_id", "chunk_id"))
-    hop2 = stage(hop(start, seen, edges), "hop2")
-    candidates = hop1.withColumn("hop", F.lit(1)).unionByName(hop2.withColumn("hop", F.lit(2)))
-    weights = stage(intent.weights(queries, signals), "weights")
-    best = stage(rerank(candidates, queries, chunks, weights), "best")
-    return {"seeds": found, "hop1": hop1, "start": start, "hop2": hop2, "weights": weights, "best": best}
+    done = {"seeds": stage(seeds(queries, chunks), "seeds")}
+
+    def candidates() -> DataFrame:
+        return done["hop1"].withColumn("hop", F.lit(1)).unionByName(done["hop2"].withColumn("hop", F.lit(2)))
+
+    def seen() -> DataFrame:
+        return done["seeds"].select("query_id", "chunk_id").unionByName(done["hop1"].select("query_id", "chunk_id"))
+
+    phases = {
+        "hop1": lambda: hop(done["seeds"], done["seeds"], edges),
+        "start": lambda: expand_from(done["hop1"], queries, chunks),
+        "hop2": lambda: hop(done["start"], seen(), edges),
+        "weights": lambda: intent.weights(queries, signals),
+        "best": lambda: rerank(candidates(), queries, chunks, done["weights"]),
+    }
+    for name, make in phases.items():
+        if upto in done:
+            break
+        done[name] = stage(make(), name)
+    return done
 
 
 def merged(seeds_: DataFrame, best: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ NODE = "nid long, title string, body string, age_range string, keywords array<st
 CHUNK = "chunk_id string, source_nid long, text string, age_range string, keywords array<string>, entities array<string>, vector array<float>, neighbors array<string>"
 
 
-def fetch_nodes(spark: SparkSession, path: str, nid: int | None = None) -> DataFrame:
-    """An export of nodes as JSON, one array or one object a line; with ``nid`` only that node."""
-    rows = spark.read.schema(NODE).option("multiLine", True).json(path)
+def fetch_nodes(spark: SparkSession, path: str, nid: int | None = None, lines: bool = True) -> DataFrame:
+    """An export of nodes as JSON, one object a line or (not ``lines``) one array a file; with ``nid`` only that node."""
+    rows = spark.read.schema(NODE).option("multiLine", not lines).json(path)
     return rows if nid is None else rows.where(F.col("nid") == nid)
 
 
