@@ -147,13 +147,15 @@ _END_COLUMNS = [x.strip().split()[0] for x in _END_SCHEMA.split(",")]
 
 
 def length_tests(lengths: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """Lengths at which texts of ``lengths(source, chars, bytes)`` stop too often: ``source, unit, bin, n, risk, expected, p``.
+    """Lengths at which the texts of ``lengths(source, chars, bytes)`` stop too often.
+
+    Returns ``source, unit, bin, n, risk, expected, p``.
 
     ``unit`` is 'chars', 'bytes' or 'bins'. The hazard of a length is tested against that of its
     neighbours (``NEAR`` bins on either side without the ``APART`` nearest) by the Chernoff bound of
-    the Poisson tail, which never understates p; Benjamini-Hochberg holds the false discoveries of
-    each source and unit at ``alpha``; a limit
-    must also hold ``LEAST_RATIO`` times what is expected. Grouped counts go through the windows, never documents.
+    the Poisson tail; Benjamini-Hochberg holds the false discoveries of
+    each source and unit at ``alpha``. Counts more uneven than chance has it raise p, and a limit must
+    also hold ``LEAST_RATIO`` times what is expected. Grouped counts go through the windows, never documents.
     """
     values = F.array(
         F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("bin")),
@@ -168,12 +170,19 @@ def length_tests(lengths: DataFrame, alpha: float = 0.01) -> DataFrame:
         wide = F.sum(column).over(line.rangeBetween(-NEAR, NEAR))
         return wide - F.sum(column).over(line.rangeBetween(-APART, APART))
 
-    # Bins without documents have no row: exposure per neighbour is about the risk at the bin itself.
-    spans = 2.0 * (NEAR - APART)
-    near = risk.withColumn("expected", (around("n") + 0.5) / spans)
+    # Bins without documents have no row: the exposure is the mean risk of the rows there are, times
+    # the neighbouring bins between the shortest and the longest text.
+    ends = Window.partitionBy("source", "unit")
+    low, high = F.min("bin").over(ends), F.max("bin").over(ends)
+    width = lambda k: F.least(F.col("bin") + k, high) - F.greatest(F.col("bin") - k, low) + 1
+    spans = F.greatest(width(NEAR) - width(APART), F.lit(1)).cast("double")
+    mean_risk = F.coalesce(F.try_divide(around("risk").cast("double"), around("one")), F.col("risk").cast("double"))
+    near = risk.withColumn("one", F.lit(1)).withColumn("expected", F.col("risk") * (around("n") + 0.5) / (F.greatest(mean_risk, F.lit(1.0)) * spans)).drop("one")
     d, e = F.col("n").cast("double"), F.col("expected")
-    tested = near.withColumn("p", F.when(d > e, F.exp(-(d * F.log(d / e) - d + e))).otherwise(F.lit(1.0)))
     group = Window.partitionBy("source", "unit")
+    # lengths clump more than chance would have it; the 90th percentile of a squared unit normal is 2.71
+    clump = F.greatest(F.lit(1.0), F.percentile_approx((d - e) * (d - e) / e, 0.9).over(group) / 2.71)
+    tested = near.withColumn("p", F.when(d > e, F.exp(-(d * F.log(d / e) - d + e) / clump)).otherwise(F.lit(1.0)))
     m = F.count("*").over(group)
     order = Window.partitionBy("source", "unit").orderBy("p", "bin")
     ranked = tested.withColumn("m", m).where(F.col("p") <= alpha).withColumn("rank", F.row_number().over(order))
@@ -190,7 +199,7 @@ def judge(documents: DataFrame, alpha: float = 0.01, far: float = 0.1, near: flo
     in less than ``far`` of the cases (``near`` at a significant length, after a trailing blank, or
     before a plain mark), or in a comma or hyphen; a known closing line (signature, credit) is whole.
     """
-    rows = documents.where(F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "source", "text")
+    rows = documents.where(F.col("text").rlike(r"\S")).select("doc_id", "source", "text")
     counted = rows.select("text").mapInPandas(_evidence, "kind string, key string, n long, hits long, late long")
     facts = stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("late").alias("late")), "facts")
     ends = stage(rows.mapInPandas(_endings, _END_SCHEMA), "endings")

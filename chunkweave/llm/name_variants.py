@@ -260,43 +260,47 @@ def link_names(mentions: DataFrame) -> DataFrame:
     ranked = ranked.where(up > F.struct(F.col("ul"), F.col("n"), F.col("form")))
     typo = ranked.groupBy("form").agg(F.max_by("base", up).alias("base"))
 
-    # Short forms, each under the key of the full form it may stand for.
-    first, last = F.substring_index("form", " ", 1), F.substring_index("form", " ", -1)
-    rest = F.expr("substring(form, length(substring_index(form, ' ', 1)) + 2)")
+    # Short forms, each under the key of the full form it may stand for: nicknames and cut given
+    # names first, then initials, for which a nickname is no rival of the name it stands for.
+    first, last = F.substring_index("form", " ", 1), F.expr("substring(form, length(substring_index(form, ' ', 1)) + 2)")
     roots = full.join(typo.select("form"), "form", "left_anti")
-    people, bodies = roots.where("person = 1 and instr(form, ' ') > 0"), roots.where("person = 0 and instr(form, ' ') > 0")
-    letters = F.concat_ws("", F.transform(F.split(rest, " "), lambda w: F.substring(w, 1, 1)))
-    keys = (
-        people.select(F.concat_ws(" ", F.lit("i"), F.substring(first, 1, 1), rest).alias("key"), F.col("form").alias("base"))
-        .unionByName(people.select(F.concat_ws(" ", F.lit("p"), F.substring(first, 1, 3), rest).alias("key"), F.col("form").alias("base")))
-        .unionByName(people.select(F.concat_ws(" ", F.lit("n"), "form").alias("key"), F.col("form").alias("base")))
-        .unionByName(bodies.select(F.concat_ws(" ", F.lit("o"), first, letters).alias("key"), F.col("form").alias("base")))
-    )
+    people = roots.where("person = 1 and instr(form, ' ') > 0").select("form")
+    bodies = roots.where("person = 0 and instr(form, ' ') > 0").select("form")
+    where_ = said.join(by_name.select("name", "type", "form"), ["name", "type"]).select("form", "context").where("context is not null").distinct()
+
+    def resolve(asked: DataFrame, keys: DataFrame) -> DataFrame:
+        """(form, base): the only candidate, or the one that shares most contexts with the form."""
+        begin = F.substring_index("base", " ", 1)
+        cut = ~F.col("key").startswith("p ") | (begin.startswith(first) & (F.length(begin) > F.length(first)))
+        maybe = asked.join(keys, "key").where((F.col("form") != F.col("base")) & cut).select("form", "base").distinct()
+        maybe = maybe.withColumn("rivals", F.count("*").over(Window.partitionBy("form")))
+        shared = (
+            maybe.where("rivals > 1").join(where_, "form")
+            .join(where_.select(F.col("form").alias("base"), "context"), ["base", "context"])
+            .groupBy("form", "base").agg(F.count("*").alias("n"))
+        )
+        best = shared.withColumn("top", F.max("n").over(Window.partitionBy("form"))).where("n = top")
+        best = best.withColumn("ties", F.count("*").over(Window.partitionBy("form"))).where("ties = 1").select("form", "base")
+        return maybe.where("rivals = 1").select("form", "base").unionByName(best)
+
+    key = lambda kind, *parts: F.concat_ws(" ", F.lit(kind), *parts).alias("key")
+    base = F.col("form").alias("base")
     formal = F.create_map(*[F.lit(x) for k, v in _FORMAL.items() for x in (k, " ".join(v))])
+    given = people.select(key("n", "form"), base).unionByName(people.select(key("p", F.substring(first, 1, 3), last), base))
     asked = (
-        groups.where("how = 'initial'").select("form", F.concat(F.lit("i "), "form").alias("key"))
-        .unionByName(people.where(F.length(first) >= 3).select("form", F.concat_ws(" ", F.lit("p"), F.substring(first, 1, 3), rest).alias("key")))
-        .unionByName(
-            people.select("form", rest.alias("rest"), F.explode(F.split(F.element_at(formal, first), " ")).alias("f"))
-            .select("form", F.concat_ws(" ", F.lit("n"), "f", "rest").alias("key"))
-        )
-        .unionByName(groups.where("how = 'initials'").select("form", F.concat(F.lit("o "), "form").alias("key")))
+        people.where(F.length(first) >= 3).select("form", key("p", F.substring(first, 1, 3), last))
+        .unionByName(people.select("form", last.alias("last"), F.explode(F.split(F.element_at(formal, first), " ")).alias("f")).select("form", key("n", "f", "last")))
     )
-    base_first = F.substring_index("base", " ", 1)
-    maybe = asked.join(keys, "key").where(
-        (F.col("form") != F.col("base")) & (~F.col("key").startswith("p ") | (base_first.startswith(first) & (F.length(base_first) > F.length(first))))
-    )
-    maybe = maybe.select("form", "base").distinct().withColumn("rivals", F.count("*").over(Window.partitionBy("form")))
-    where_ = said.join(by_name.select("name", "type", "form"), ["name", "type"]).select("form", "context").where("context is not null").distinct()
-    rivals = maybe.where("rivals > 1")
-    shared = (
-        rivals.join(where_, "form")
-        .join(where_.select(F.col("form").alias("base"), "context"), ["base", "context"])
-        .groupBy("form", "base").agg(F.count("*").alias("n"))
+    nick = stage(resolve(asked, given), "nicknames")
+
+    letters = F.concat_ws("", F.transform(F.split(last, " "), lambda w: F.substring(w, 1, 1)))
+    whole = people.join(nick.select("form"), "form", "left_anti")
+    heads = whole.select(key("i", F.substring(first, 1, 1), last), base).unionByName(bodies.select(key("o", first, letters), base))
+    asked = (
+        groups.where("how = 'initial'").select("form", key("i", "form"))
+        .unionByName(groups.where("how = 'initials'").select("form", key("o", "form")))
     )
-    best = shared.withColumn("top", F.max("n").over(Window.partitionBy("form"))).where("n = top")
-    best = best.withColumn("ties", F.count("*").over(Window.partitionBy("form"))).where("ties = 1").select("form", "base")
-    short = maybe.where("rivals = 1").select("form", "base").unionByName(best)
+    short = nick.unionByName(resolve(asked, heads))
 
     step = stage(typo.unionByName(short).groupBy("form").agg(F.min("base").alias("base")), "steps")
     root = groups.select("form", F.col("form").alias("at"))

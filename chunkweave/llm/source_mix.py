@@ -161,14 +161,15 @@ def realise(counts: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     whole source. Texts of sources without a plan are used 0 times; so is a null id's text.
     """
     rows = counts.where(F.col("doc_id").isNotNull()).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BLOCKS)).cast("int"))
-    spans = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
-    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("source", "block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_s", F.coalesce("source", F.lit("\0")))  # joins drop null keys
+    spans = rows.groupBy("_s", "block").agg(F.sum("n_tokens").alias("size"))
+    ahead = Window.partitionBy("_s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("_s", "block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("_s", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     quotas = plan.select("source", "quota_tokens", "tokens")
     placed = (
         rows.withColumn("upto", F.sum("n_tokens").over(inside))
-        .join(spans, ["source", "block"])
+        .join(spans, ["_s", "block"])
         .join(F.broadcast(quotas), "source", "left")  # at most MAX_SOURCES rows
     )
     passes = F.floor(F.try_divide(F.col("quota_tokens"), F.col("tokens")))
