@@ -251,6 +251,7 @@ def link_names(mentions: DataFrame) -> DataFrame:
         .fillna(0, ["uses_a", "uses_b"])
         .where((F.least("uses_a", "uses_b") <= 2) | (F.greatest("uses_a", "uses_b") >= 20 * F.least("uses_a", "uses_b")))
     )
+    pairs = stage(pairs, "pairs")
     back = full.select("form", "n")
     both = pairs.select(F.col("a").alias("form"), F.col("b").alias("base"), F.col("uses_a").alias("ul"), F.col("uses_b").alias("ur")).unionByName(
         pairs.select(F.col("b").alias("form"), F.col("a").alias("base"), F.col("uses_b").alias("ul"), F.col("uses_a").alias("ur"))
@@ -258,7 +259,7 @@ def link_names(mentions: DataFrame) -> DataFrame:
     ranked = both.join(back, "form").join(back.select(F.col("form").alias("base"), F.col("n").alias("n_base")), "base")
     up = F.struct(F.col("ur"), F.col("n_base"), F.col("base"))
     ranked = ranked.where(up > F.struct(F.col("ul"), F.col("n"), F.col("form")))
-    typo = ranked.groupBy("form").agg(F.max_by("base", up).alias("base"))
+    typo = stage(ranked.groupBy("form").agg(F.max_by("base", up).alias("base")), "typos")
 
     # Short forms, each under the key of the full form it may stand for: nicknames and cut given
     # names first, then initials, for which a nickname is no rival of the name it stands for.

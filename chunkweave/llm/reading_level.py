@@ -24,7 +24,7 @@ from chunkweave.session import stage
 
 #: At most about this many labelled rows (a hash decides which) are used to fit; all rows are scored.
 FIT_ROWS = 30_000
-FOLDS, TREES, DEPTH, STEP = 2, 20, 4, 0.25
+FOLDS, TREES, DEPTH, STEP, LEAF = 3, 25, 3, 0.15, 8
 #: Bins of a score between the lowest and highest level, for the calibration.
 BINS = 240
 
@@ -120,7 +120,7 @@ def score_levels(texts: DataFrame, levels: int, fit_rows: int = FIT_ROWS, least_
     points = stage(drawn.select("fold", F.col("label").cast("double").alias("label"), "features"), "fit").select("fold", "label", array_to_vector("features").alias("x"))
     scored = table.where("n_words > 0").withColumn("x", array_to_vector("features"))
     for fold in range(FOLDS):
-        trees = GBTRegressor(featuresCol="x", labelCol="label", predictionCol=f"s{fold}", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=48, subsamplingRate=0.7, seed=17, lossType="absolute")
+        trees = GBTRegressor(featuresCol="x", labelCol="label", predictionCol=f"s{fold}", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=48, minInstancesPerNode=LEAF, subsamplingRate=0.7, seed=17, lossType="absolute")
         scored = trees.fit(points.where(F.col("fold") != fold).coalesce(6)).transform(scored)
     blind = F.coalesce(*[F.when(F.col("fold") == i, F.col(f"s{i}")) for i in range(FOLDS)])
     mean = sum(F.col(f"s{i}") for i in range(FOLDS)) / FOLDS

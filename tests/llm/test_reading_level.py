@@ -23,7 +23,7 @@ def frame(spark, rows):
 def test_wrong_labels_come_out(spark):
     rnd = random.Random(1)
     rows, wrong, truth = [], set(), {}
-    for i in range(600):
+    for i in range(1200):
         level = rnd.randrange(4)
         truth[i] = level
         label = level
