@@ -33,7 +33,7 @@ def test_wrong_labels_come_out(spark):
         elif rnd.random() < 0.1:
             label = None
         rows.append((i, rnd.choice(["a", "b", None]), label, text(rnd, (0.05, 0.3, 0.55, 0.85)[level], rnd.randint(60, 300))))
-    rows += [(9000, "a", 1, None), (9001, "a", 1, ""), (9002, "a", 2, "12 34 <b></b>"), (9003, None, None, "one word"), (9004, "a", 0, text(rnd, 0.1, 60_000))]
+    rows += [(9000, "a", 1, None), (9001, "a", 1, ""), (9002, "a", 2, "12 34 <b></b>"), (9003, None, None, "one word"), (9004, "a", 0, text(rnd, 0.05, 60_000))]
     scored = rl.score_levels(frame(spark, rows), 4)
     got = {r.key: r for r in scored.collect()}
     assert len(got) == len(rows)
