@@ -25,8 +25,8 @@ from chunkweave.session import stage
 #: Trailing marks: those that only say "there was more", and those that authors use as well.
 PLAIN_MARK = r"\[\s*(?:…|\.\.\.|continued|cont\.?|truncated|more)\s*\]|\(\s*(?:…|\.\.\.|more|continued|cont\.?)\s*\)|»|>>|(?<!\w)[Rr]ead more"
 SOFT_MARK = r"…|\.{3,}|\(sic\)|\[sic\]"
-_PLAIN = re.compile(rf"(?:\s*(?:{PLAIN_MARK}))\s*$")
-_MARKS = re.compile(rf"(?:\s*(?:{PLAIN_MARK}|{SOFT_MARK}))+\s*$")
+_PLAIN = re.compile(rf"(?:{PLAIN_MARK})$")
+_MARK = re.compile(rf"(?:{PLAIN_MARK}|{SOFT_MARK})$")
 #: word, what stands directly after it, and the white space that follows
 _TOKEN = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)([^\w\s]*)(\s*)")
 _STOP = re.compile(r"[.!?…]")
@@ -41,29 +41,47 @@ LEAST_RATIO = 4
 CONTEXT, LINE_LEAD, WORD = "c", "l", "w"
 
 
-def _shape(word: str) -> str:
-    first = word[0]
-    return "A" if first.isupper() else "0" if first.isdigit() else word.lower()
+class _Shapes(dict):
+    """word -> its shape: A for a capital, 0 for a digit, else itself in lower case."""
 
+    def __missing__(self, word: str) -> str:
+        first = word[0]
+        self[word] = shape = "A" if first.isupper() else "0" if first.isdigit() else word.lower()
+        return shape
 
-def _walk(found: list[tuple[str, str, str]]) -> list[tuple[str, bool]]:
+
+def _unmarked(text: str) -> str:
+    """The text without trailing marks and white space; one mark is taken off at a time."""
+    while True:
+        text = text.rstrip()
+        m = _MARK.search(text, max(0, len(text) - 40))
+        if m is None:
+            return text
+        text = text[: m.start()]
+
+
+def _walk(found: list[tuple[str, str, str]], shapes: dict[str, str]) -> list[tuple[tuple[str, str, str], bool]]:
     """(context, does a sentence end here) for each word that ends a run of capitalised words.
 
     A context is the shapes of the last three words of the sentence, such a run counting as one;
     the last word's flag only says whether punctuation follows it.
     """
     out = []
+    add = out.append
+    stop_in = _STOP.search
     a, b, c = "", "", "^"
-    n = len(found) - 1
-    kinds = [_shape(x[0]) for x in found]
-    for i, (_, after, gap) in enumerate(found):
-        k = kinds[i]
-        if not (k == "A" and c == "A"):
+    kinds = [shapes[x[0]] for x in found]
+    after_it = [*kinds[1:], ""]
+    for k, following, (_, after, gap) in zip(kinds, after_it, found):
+        if k == "A":
+            if c != "A":
+                a, b, c = b, c, k
+            if following == "A" and not after:
+                continue
+        else:
             a, b, c = b, c, k
-        if k == "A" and i < n and kinds[i + 1] == "A" and not after:
-            continue
-        stop = _STOP.search(after) is not None if after else gap.count("\n") > 1
-        out.append((f"{a} {b} {c}", stop))
+        stop = stop_in(after) is not None if after else gap.count("\n") > 1
+        add(((a, b, c), stop))
         if stop:
             a, b, c = "", "", "^"
     return out
@@ -79,22 +97,22 @@ def _lead(line: str) -> str:
 
 def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of contexts (and of sentences that end after them), words and line leads, per batch."""
+    shapes = _Shapes()
     for pdf in batches:
         contexts, stops, words, finals, leads, last, late = (Counter() for _ in range(7))
         for text in pdf["text"]:
-            body = _MARKS.sub("", text).rstrip()
+            body = _unmarked(text)
             found = _TOKEN.findall(body)
             if not found:
                 continue
             whole = _WHOLE.match(_tail(body)) is not None
-            words.update(x[0] for x in (found if whole else found[:-1]))
+            words.update([x[0] for x in (found if whole else found[:-1])])
             if not whole:
                 finals[found[-1][0]] += 1
-            steps = _walk(found)
-            for key, stop in steps if whole else steps[:-1]:
-                contexts[key] += 1
-                if stop:
-                    stops[key] += 1
+            steps = _walk(found, shapes)
+            steps = steps if whole else steps[:-1]
+            contexts.update([x[0] for x in steps])
+            stops.update([x[0] for x in steps if x[1]])
             rows = _lines(body)
             for j, line in enumerate(rows):
                 if len(line) <= LINE:
@@ -103,7 +121,7 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     last[lead] += not whole and j == len(rows) - 1 and j > 0
                     late[lead] += not whole and j >= len(rows) - 2 and j > 0
         yield pd.DataFrame(
-            [(CONTEXT, k, v, stops[k], 0) for k, v in contexts.items()]
+            [(CONTEXT, " ".join(k), v, stops[k], 0) for k, v in contexts.items()]
             + [(WORD, k, words[k], finals[k], 0) for k in words.keys() | finals.keys()]
             + [(LINE_LEAD, k, v, last[k], late[k]) for k, v in leads.items()],
             columns=["kind", "key", "n", "hits", "late"],
@@ -119,21 +137,22 @@ def _tail(body: str) -> str:
 
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The ending of each text: whether it is whole, its marks, context, last word and line leads."""
+    shapes = _Shapes()
     for pdf in batches:
         rows = []
         for doc, source, text in pdf.itertuples(index=False, name=None):
-            plain = _PLAIN.search(text) is not None
-            loose = _MARKS.sub("", text)
-            body = loose.rstrip()
+            trimmed = text.rstrip()
+            plain = _PLAIN.search(trimmed, max(0, len(trimmed) - 40)) is not None
+            body = _unmarked(text)
             tail = _tail(body)
             found = _TOKEN.findall(body[-2000:])
             whole = not found or _WHOLE.match(tail) is not None
-            steps = _walk(found[-60:])
-            key = steps[-1][0] if steps else ""
+            steps = _walk(found[-60:], shapes)
+            key = " ".join(steps[-1][0]) if steps else ""
             lines = _lines(body)[-2:]
             lead = [_lead(x) if len(x) <= LINE else "" for x in lines]
             rows.append((
-                doc, source, len(text), len(text.encode("utf-8", "surrogatepass")), whole, plain, loose != body and not _MARKS.search(text),
+                doc, source, len(text), len(text.encode("utf-8", "surrogatepass")), whole, plain, body == trimmed != text,
                 key, found[-1][0] if found else "", lead[-1] if len(lead) > 1 else "", lead[0] if len(lead) > 1 else "", tail,
             ))
         yield pd.DataFrame(rows, columns=_END_COLUMNS)

@@ -74,5 +74,11 @@ def test_rates_and_odd_rows(spark):
 
 
 def test_contexts():
-    walk = lambda t: ct._walk(ct._TOKEN.findall(t))
+    walk = lambda t: [(" ".join(k), s) for k, s in ct._walk(ct._TOKEN.findall(t), ct._Shapes())]
     assert walk("The Old Mill closed. It was 3 o'clock") == [(" ^ A", False), ("^ A closed", True), (" ^ A", False), ("^ A was", False), ("A was 0", False), ("was 0 o'clock", False)]
+
+
+def test_marks():
+    for mark in ("…", " […]", "... (more)", " Read more", " »", " [ continued ]", "......" * 20, "… (sic) "):
+        assert ct._unmarked("Some words" + mark) == "Some words"
+    assert ct._unmarked("bread more") == "bread more" and ct._unmarked(" … ") == ""
