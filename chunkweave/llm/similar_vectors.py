@@ -23,7 +23,7 @@ from chunkweave.session import stage
 #: Bits of a hash string. The rest of a key's 62 bits is a hash of the row, which spreads rows that
 #: share a whole string over the sorted array.
 HASH_BITS = 40
-LEAST, MOST = 640, 2048
+LEAST, MOST = 1600, 4800
 #: Rows of one tree that a task takes, about; sets the number of partitions.
 TASK_ROWS = 24_000
 
