@@ -3,7 +3,7 @@
 Each text over the limit becomes a sorted array of boundary offsets (code points); the prefix sums
 of the stretch lengths are those offsets themselves. A piece starts at ``s``; the last boundary
 within ``s + limit`` is found by binary search, else the piece is cut hard at ``s + limit``; the
-next piece starts ``overlap`` code points before the cut, moved on to the nearest boundary in that
+next piece starts ``overlap`` code points before the cut, moved on to the first boundary in that
 stretch if there is one. Every text is one row, so a text is the largest unit a task holds.
 """
 
@@ -47,30 +47,32 @@ def cut(size: int, marks: list[int], limit: int, overlap: int) -> list[tuple[int
     """Pieces (start, stop, how) that cover 0..size, each at most ``limit`` long.
 
     ``how`` is 'end' for the last piece, 'natural' if it stops at a boundary, else 'forced'.
-    Consecutive pieces overlap by at most ``overlap``; progress is always made.
+    Consecutive pieces overlap by ``overlap``, or less where the next piece starts at a boundary in
+    that stretch, or not at all where only so the next cut is natural. Every piece ends later than
+    the one before.
     """
-    out, start = [], 0
-    while size - start > limit:
+
+    def reach(start: int, past: int) -> int | None:
+        """The last boundary after ``past`` that a piece from ``start`` can stop at; or the end."""
+        if size - start <= limit:
+            return size
         at = bisect_right(marks, start + limit) - 1
-        stop = marks[at] if at >= 0 and marks[at] > start else start + limit
-        how = "natural" if stop != start + limit or (at >= 0 and marks[at] == stop) else "forced"
+        return marks[at] if at >= 0 and marks[at] > past else None
+
+    out, start, stop = [], 0, 0
+    while size - start > limit:
+        to = reach(start, max(stop, start))
+        stop, how = (start + limit, "forced") if to is None else (to, "natural")
         out.append((start, stop, how))
         back = max(start + 1, stop - overlap)
         i = bisect_left(marks, back)
-        nxt = marks[i] if i < len(marks) and marks[i] < stop else back
-        # the next piece must be able to reach past this stop
-        start = nxt if _passes(nxt, stop, marks, limit, size) else stop
+        back = marks[i] if i < len(marks) and marks[i] < stop else back
+        # without the overlap if only that spares a forced cut
+        start = stop if reach(back, stop) is None and reach(stop, stop) is not None else back
     out.append((start, size, "end"))
     return out
 
 
-def _passes(start: int, stop: int, marks: list[int], limit: int, size: int) -> bool:
-    if size - start <= limit:
-        return True
-    at = bisect_right(marks, start + limit) - 1
-    return at >= 0 and marks[at] > stop or (at < 0 or marks[at] <= start) and start + limit > stop
-
-
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
