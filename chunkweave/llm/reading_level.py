@@ -42,7 +42,11 @@ FEATURES = 34
 
 
 def measures(text: str) -> tuple[int, list[float]]:
-    """(words, features) of a text; markup, entities and bracketed references are left out."""
+    """(words, features) of a text: words as white space parts them, 0 where no part is a word.
+
+    The features leave out markup, entities and bracketed references.
+    """
+    size_of = len(text.split())
     text = _TAG.sub(" ", html.unescape(text))
     words = [w.lower() for w in _WORD.findall(text)]
     n = len(words)
@@ -68,7 +72,7 @@ def measures(text: str) -> tuple[int, list[float]]:
     sets = [{w.lower() for w in p if len(w) > 3} for p in parts]
     shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:]) if a and b]
     out += [float(np.mean(shared)) if shared else 0.0, sum(w in ("the", "a", "an") for w in words) / n]
-    return n, [float(x) for x in out]
+    return size_of, [float(x) for x in out]
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -52,6 +52,6 @@ def test_too_few_labels_and_empty(spark):
 
 def test_measures_and_cuts():
     n, f = rl.measures("One&nbsp;two <b>three</b> [cf. fol. 1]. Four!")
-    assert n == 4 and len(f) == rl.FEATURES and rl.measures("")[0] == 0
+    assert n == 6 and len(f) == rl.FEATURES and rl.measures("")[0] == 0 and rl.measures("<b> 12 </b>")[0] == 0  # words as white space parts them
     cuts = rl.calibrate([(0.0, 0, 9), (0.2, 1, 1), (1.0, 1, 9), (2.0, 2, 5), (2.1, 0, 1)], 3)
     assert 0.0 <= cuts[0] < 0.2 and 1.0 <= cuts[1] < 2.0  # the fewest labels on the wrong side: one each
