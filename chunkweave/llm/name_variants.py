@@ -56,12 +56,16 @@ _FORMAL: dict[str, list[str]] = {}
 for _full, _short in NICKNAMES.items():
     for _s in _short.split():
         _FORMAL.setdefault(_s, []).append(_full)
+#: Digits that stand for letters inside words, as misread characters.
+_MISREAD = str.maketrans("01", "ol")
+_MIXED = re.compile(r"\b(?=\w*[^\W\d_])\w*[01]\w*")
 _INITIALS = re.compile(r"(?:[^\W\d_]\.){2,}$")
 
 
 def plain(name: str, kind: str) -> tuple[str, str]:
     """(plain form, how): 'full', 'initial' (I. Last) or 'initials' (Place A.B.). May be empty."""
     s = "".join(ch for ch in unicodedata.normalize("NFKD", name) if not unicodedata.combining(ch)).lower().replace("’", "'").replace("&", " and ")
+    s = _MIXED.sub(lambda m: m.group().translate(_MISREAD), s)
     if kind == "ORG":
         raw = s.replace(",", " ").split()
         how = "full"
@@ -238,7 +242,15 @@ def link_names(mentions: DataFrame) -> DataFrame:
     full = groups.where("how = 'full'")
 
     # Typing errors: one edit in one word. Two words that both go with several others are two words.
-    pairs = near_forms(full.select("form"))
+    # A nickname may come with an error in the rest of the name: its full given name is tried as well.
+    first, last = F.substring_index("form", " ", 1), F.expr("substring(form, length(substring_index(form, ' ', 1)) + 2)")
+    formal = F.create_map(*[F.lit(x) for k, v in _FORMAL.items() for x in (k, " ".join(v))])
+    named = full.where("person = 1 and instr(form, ' ') > 0")
+    tried = named.select("form", last.alias("last"), F.explode(F.split(F.element_at(formal, first), " ")).alias("f"))
+    tried = tried.select("form", F.concat_ws(" ", "f", "last").alias("tried"))
+    near = stage(near_forms(full.select("form").unionByName(tried.select(F.col("tried").alias("form"))).distinct()), "near")
+    either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = near.join(full.select(F.col("form").alias("a")), "a", "left_semi").join(full.select(F.col("form").alias("b")), "b", "left_semi")
     words_a, words_b = F.split("a", " "), F.split("b", " ")
     edited = F.filter(F.arrays_zip(words_a.alias("p"), words_b.alias("q")), lambda w: ~w["p"].eqNullSafe(w["q"]))
     pairs = pairs.withColumn("edited", F.when(F.size(words_a) == F.size(words_b), edited).otherwise(F.array(F.struct(F.lit("").alias("p"), F.lit("").alias("q")))))
@@ -261,9 +273,17 @@ def link_names(mentions: DataFrame) -> DataFrame:
     ranked = ranked.where(up > F.struct(F.col("ul"), F.col("n"), F.col("form")))
     typo = stage(ranked.groupBy("form").agg(F.max_by("base", up).alias("base")), "typos")
 
+    rare = uses.where("uses <= 2").select(F.col("word").alias("end"))
+    guess = (
+        tried.withColumn("end", F.substring_index("form", " ", -1)).join(rare, "end", "left_semi")
+        .join(either.select(F.col("a").alias("tried"), F.col("b").alias("base")), "tried")
+        .where(F.substring_index("base", " ", 1) == F.substring_index("tried", " ", 1))
+        .join(back.select(F.col("form").alias("base"), "n"), "base")
+        .groupBy("form").agg(F.max_by("base", F.struct("n", "base")).alias("base"))
+    )
+
     # Short forms, each under the key of the full form it may stand for: nicknames and cut given
     # names first, then initials, for which a nickname is no rival of the name it stands for.
-    first, last = F.substring_index("form", " ", 1), F.expr("substring(form, length(substring_index(form, ' ', 1)) + 2)")
     roots = full.join(typo.select("form"), "form", "left_anti")
     people = roots.where("person = 1 and instr(form, ' ') > 0").select("form")
     bodies = roots.where("person = 0 and instr(form, ' ') > 0").select("form")
@@ -286,13 +306,14 @@ def link_names(mentions: DataFrame) -> DataFrame:
 
     key = lambda kind, *parts: F.concat_ws(" ", F.lit(kind), *parts).alias("key")
     base = F.col("form").alias("base")
-    formal = F.create_map(*[F.lit(x) for k, v in _FORMAL.items() for x in (k, " ".join(v))])
     given = people.select(key("n", "form"), base).unionByName(people.select(key("p", F.substring(first, 1, 3), last), base))
     asked = (
         people.where(F.length(first) >= 3).select("form", key("p", F.substring(first, 1, 3), last))
         .unionByName(people.select("form", last.alias("last"), F.explode(F.split(F.element_at(formal, first), " ")).alias("f")).select("form", key("n", "f", "last")))
     )
-    nick = stage(resolve(asked, given), "nicknames")
+    nick = resolve(asked, given)
+    guess = guess.join(typo.select("form"), "form", "left_anti").join(nick.select("form"), "form", "left_anti")
+    nick = stage(nick.unionByName(guess), "nicknames")
 
     letters = F.concat_ws("", F.transform(F.split(last, " "), lambda w: F.substring(w, 1, 1)))
     whole = people.join(nick.select("form"), "form", "left_anti")
