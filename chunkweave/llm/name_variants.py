@@ -7,8 +7,10 @@ transpositions; the unrestricted form, which is a metric). Pivots are drawn by a
 goes to the cell of its nearest pivot, and is replicated to each cell whose pivot is at most
 ``2 r`` farther: by the triangle inequality no form within ``r`` can be missed. Inside a cell forms
 are joined by their distances to the pivot and their lengths (both may differ by at most r), and the
-distance of what is left is computed exactly. Short forms (initials, nicknames, cut given names)
-are then looked up under the keys that their bearer's full form would have.
+distance of what is left is computed exactly. Forms are joined at two edits; letters that are misread
+in groups (rn for m, kw for qu) are undone and count as one error, and a second error needs evidence.
+Short forms (initials, nicknames, cut given names) are then looked up under the keys that their
+bearer's full form would have.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from chunkweave.session import stage
 #: Forms per pivot, and the greatest number of pivots: what is broadcast is bounded by it.
 FORMS_PER_PIVOT, MOST_PIVOTS = 300, 1024
 RADIUS = 1
+#: Errors in one name that are looked for.
+ERRORS = 2
 
 # Titles, legal forms, and usual abbreviations of words for a body of people.
 TITLES = "rev reverend capt captain prof professor dr doctor judge mr mrs ms miss sir dame hon honorable sgt col gen lt maj fr sister brother".split()
@@ -59,6 +63,8 @@ for _full, _short in NICKNAMES.items():
 #: Digits that stand for letters inside words, as misread characters.
 _MISREAD = str.maketrans("01", "ol")
 _MIXED = re.compile(r"\b(?=\w*[^\W\d_])\w*[01]\w*")
+#: Groups of letters that are misread or misheard as others: two edits, but one error.
+GROUPS = (("rn", "m"), ("qu", "kw"))
 _INITIALS = re.compile(r"(?:[^\W\d_]\.){2,}$")
 
 
@@ -160,14 +166,29 @@ def distance(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
+def ungrouped(form: str) -> str:
+    """The form with each misread group as the letters it may stand for."""
+    for group, letters in GROUPS:
+        form = form.replace(group, letters)
+    return form
+
+
+def edits(a: str, b: str, errors: int) -> list[tuple[str, str, bool]]:
+    """The words in which two forms differ, and whether one error explains each."""
+    x, y = a.split(), b.split()
+    if len(x) != len(y):
+        return [("", "", errors == 1)]
+    return [(p, q, ungrouped(p) == ungrouped(q) or distance(p, q) <= 1) for p, q in zip(x, y) if p != q]
+
+
 def near_forms(forms: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``a < b`` of distinct strings of ``forms(form)`` at distance <= radius."""
+    """Pairs ``a < b`` of distinct strings of ``forms(form)`` at distance ``d`` <= radius."""
     spark = forms.sparkSession
     n = forms.count()
     want = int(min(MOST_PIVOTS, max(1, n // FORMS_PER_PIVOT)))
     pivots = [r.form for r in forms.orderBy(F.xxhash64("form", F.lit(5)), "form").limit(want).collect()]
     if not pivots:
-        return spark.createDataFrame([], "a string, b string")
+        return spark.createDataFrame([], "a string, b string, d int")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -198,7 +219,28 @@ def near_forms(forms: DataFrame, radius: int = RADIUS) -> DataFrame:
     def exact(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    return close.where(exact("a", "b") <= radius)
+    return close.withColumn("d", exact("a", "b")).where(F.col("d") <= radius)
+
+
+def near_spellings(forms: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``forms(form)`` with the ``errors`` that part them: 1 or 2.
+
+    Any number of misread groups is one error, beside which there may be one edit.
+    """
+
+    @F.pandas_udf("string")
+    def undo(s: pd.Series) -> pd.Series:
+        return s.map(ungrouped)
+
+    read = stage(forms.select("form", undo("form").alias("undone")), "undone")
+    points = read.select("form").unionByName(read.select(F.col("undone").alias("form"))).distinct()
+    near = stage(near_forms(points, ERRORS), "points")
+    a, b = (read.select(F.col("form").alias(p), F.col("undone").alias(f"u{p}")) for p in ("a", "b"))
+    alike = a.join(b.withColumnRenamed("ub", "ua"), "ua").where("a < b").select("a", "b", F.lit(1).alias("errors"))
+    apart = near.where("d = 1").select(F.col("a").alias("ua"), F.col("b").alias("ub")).join(a, "ua").join(b, "ub").where("a <> ua or b <> ub")
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(2).alias("errors"))
+    plainly = near.join(a.select("a"), "a", "left_semi").join(b.select("b"), "b", "left_semi").select("a", "b", F.col("d").alias("errors"))
+    return plainly.unionByName(alike).unionByName(apart).groupBy("a", "b").agg(F.min("errors").alias("errors"))
 
 
 def link_names(mentions: DataFrame) -> DataFrame:
@@ -241,37 +283,60 @@ def link_names(mentions: DataFrame) -> DataFrame:
     groups = stage(groups, "groups")
     full = groups.where("how = 'full'")
 
-    # Typing errors: one edit in one word. Two words that both go with several others are two words.
+    # Typing errors: one in one word. Two words that both go with several others are two words.
+    # A second error is believed in another word, if that word is as rare or cut; two in the same
+    # word part different names as often, so most of the rarer form's contexts must be shared, and
+    # it must be much rarer.
     # A nickname may come with an error in the rest of the name: its full given name is tried as well.
+    where_ = said.join(by_name.select("name", "type", "form"), ["name", "type"]).select("form", "context").where("context is not null").distinct()
     first, last = F.substring_index("form", " ", 1), F.expr("substring(form, length(substring_index(form, ' ', 1)) + 2)")
     formal = F.create_map(*[F.lit(x) for k, v in _FORMAL.items() for x in (k, " ".join(v))])
     named = full.where("person = 1 and instr(form, ' ') > 0")
     tried = named.select("form", last.alias("last"), F.explode(F.split(F.element_at(formal, first), " ")).alias("f"))
     tried = tried.select("form", F.concat_ws(" ", "f", "last").alias("tried"))
-    near = stage(near_forms(full.select("form").unionByName(tried.select(F.col("tried").alias("form"))).distinct()), "near")
-    either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = stage(near_spellings(full.select("form").unionByName(tried.select(F.col("tried").alias("form"))).distinct()), "near")
+    once = near.where("errors = 1")
+    either = once.select("a", "b").unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    @F.pandas_udf("array<struct<p:string,q:string,one:boolean>>")
+    def differ(a: pd.Series, b: pd.Series, errors: pd.Series) -> pd.Series:
+        return pd.Series([[{"p": p, "q": q, "one": one} for p, q, one in edits(*x)] for x in zip(a, b, errors)], dtype=object)
+
     pairs = near.join(full.select(F.col("form").alias("a")), "a", "left_semi").join(full.select(F.col("form").alias("b")), "b", "left_semi")
-    words_a, words_b = F.split("a", " "), F.split("b", " ")
-    edited = F.filter(F.arrays_zip(words_a.alias("p"), words_b.alias("q")), lambda w: ~w["p"].eqNullSafe(w["q"]))
-    pairs = pairs.withColumn("edited", F.when(F.size(words_a) == F.size(words_b), edited).otherwise(F.array(F.struct(F.lit("").alias("p"), F.lit("").alias("q")))))
-    pairs = pairs.where(F.size("edited") == 1).withColumn("w", F.col("edited")[0])
+    edited = pairs.select("a", "b", "errors", F.explode(differ("a", "b", "errors")).alias("w")).select("a", "b", "errors", "w.*")
     uses = full.select(F.explode(F.array_distinct(F.split("form", " "))).alias("word"), "form").groupBy("word").agg(F.count("*").alias("uses"))
-    ua, ub = (uses.select(F.col("word").alias(f"word_{p}"), F.col("uses").alias(f"uses_{p}")) for p in ("a", "b"))
+    up, uq = (uses.select(F.col("word").alias(p), F.col("uses").alias(f"uses_{p}")) for p in ("p", "q"))
+    is_rare = (F.least("uses_p", "uses_q") <= 2) | (F.greatest("uses_p", "uses_q") >= 20 * F.least("uses_p", "uses_q"))
+    is_cut = F.col("p").startswith(F.col("q")) | F.col("q").startswith(F.col("p"))
     pairs = (
-        pairs.select("a", "b", F.col("w.p").alias("word_a"), F.col("w.q").alias("word_b"))
-        .join(ua, "word_a", "left").join(ub, "word_b", "left")
-        .fillna(0, ["uses_a", "uses_b"])
-        .where((F.least("uses_a", "uses_b") <= 2) | (F.greatest("uses_a", "uses_b") >= 20 * F.least("uses_a", "uses_b")))
+        edited.join(up, "p", "left").join(uq, "q", "left")
+        .fillna(0, ["uses_p", "uses_q"])
+        .groupBy("a", "b", "errors")
+        .agg(
+            F.count("*").alias("words"), F.bool_and("one").alias("one"), F.bool_and(is_rare | is_cut).alias("each"), F.bool_or(is_rare).alias("rare"),
+            F.min("uses_p").alias("uses_a"), F.min("uses_q").alias("uses_b"),
+        )
+        .where("each and rare and (one or words = 1)")
+    )
+    pairs = stage(pairs, "edited")
+    seen = where_.groupBy("form").agg(F.count("*").alias("seen"))
+    shared = (
+        pairs.where("not one").select("a", "b").join(where_.select(F.col("form").alias("a"), "context"), "a")
+        .join(where_.select(F.col("form").alias("b"), "context"), ["b", "context"])
+        .groupBy("a", "b").agg(F.count("*").alias("shared"))
+        .join(seen.select(F.col("form").alias("a"), F.col("seen").alias("seen_a")), "a").join(seen.select(F.col("form").alias("b"), F.col("seen").alias("seen_b")), "b")
+        .where((F.col("shared") >= 2) & (2 * F.col("shared") > F.least("seen_a", "seen_b")) & (F.greatest("seen_a", "seen_b") >= 3 * F.least("seen_a", "seen_b")))
     )
-    pairs = stage(pairs, "pairs")
+    kept = ["a", "b", "errors", "uses_a", "uses_b"]
+    pairs = stage(pairs.where("one").select(kept).unionByName(pairs.join(shared.select("a", "b"), ["a", "b"]).select(kept)), "pairs")
     back = full.select("form", "n")
-    both = pairs.select(F.col("a").alias("form"), F.col("b").alias("base"), F.col("uses_a").alias("ul"), F.col("uses_b").alias("ur")).unionByName(
-        pairs.select(F.col("b").alias("form"), F.col("a").alias("base"), F.col("uses_b").alias("ul"), F.col("uses_a").alias("ur"))
+    both = pairs.select(F.col("a").alias("form"), F.col("b").alias("base"), F.col("uses_a").alias("ul"), F.col("uses_b").alias("ur"), "errors").unionByName(
+        pairs.select(F.col("b").alias("form"), F.col("a").alias("base"), F.col("uses_b").alias("ul"), F.col("uses_a").alias("ur"), "errors")
     )
     ranked = both.join(back, "form").join(back.select(F.col("form").alias("base"), F.col("n").alias("n_base")), "base")
     up = F.struct(F.col("ur"), F.col("n_base"), F.col("base"))
     ranked = ranked.where(up > F.struct(F.col("ul"), F.col("n"), F.col("form")))
-    typo = stage(ranked.groupBy("form").agg(F.max_by("base", up).alias("base")), "typos")
+    typo = stage(ranked.groupBy("form").agg(F.max_by("base", F.struct(-F.col("errors"), up)).alias("base")), "typos")
 
     rare = uses.where("uses <= 2").select(F.col("word").alias("end"))
     guess = (
@@ -287,7 +352,6 @@ def link_names(mentions: DataFrame) -> DataFrame:
     roots = full.join(typo.select("form"), "form", "left_anti")
     people = roots.where("person = 1 and instr(form, ' ') > 0").select("form")
     bodies = roots.where("person = 0 and instr(form, ' ') > 0").select("form")
-    where_ = said.join(by_name.select("name", "type", "form"), ["name", "type"]).select("form", "context").where("context is not null").distinct()
 
     def resolve(asked: DataFrame, keys: DataFrame) -> DataFrame:
         """(form, base): the only candidate, or the one that shares most contexts with the form."""

@@ -76,3 +76,27 @@ def test_rival_bearers_are_told_apart_by_context_or_left_alone(spark):
     by = {r.name: r.bearer for r in nv.link_names(frame(spark, rows)).collect()}
     assert by["W. Marwick"] == "william marwick" and by["S. Hobday"] == "s hobday"
     assert nv.link_names(frame(spark, [])).count() == 0
+
+
+def test_two_edit_misreadings_and_two_errors_in_one_name(spark):
+    others = ("Walter", "Susannah", "Theodore")
+    full = [("Oliver Kinmivik", 9), ("Patricia Vuntequist", 9), ("Cornelius Favzester", 9), ("Dorothy Fumpender", 9), ("Samuel Famgender", 7), ("Samuel Fumpender", 8), ("Harriet Lesvuback", 6), ("Oliver Solgetz", 5)]
+    full += [(f"{g} {s}", 3) for g in others for s in ("Kinmivik", "Vuntequist", "Fumpender", "Solgetz")] + [("Rudkemere Voters Council", 5)]
+    rows = [(n, "ORG" if "Council" in n else "PERSON", c) for n, k in full for c in range(k)]
+    wrong = {
+        "Oliver Kinrnivik": "oliver kinmivik", "Patricia Vuntekwist": "patricia vuntequist", "Rudkernere Voters Council": "rudkemere voters council",
+        "Comelius Favzester": "cornelius favzester", "Pat Vuntekwist": "patricia vuntequist", "Doorthy Fumpendr": "dorothy fumpender", "Olivr Sogletz": "oliver solgetz",
+        "Harriet Lesvubcaak": "harriet lesvuback",
+    }
+    rows += [(n, "ORG" if "Council" in n else "PERSON", c) for n in wrong for c in (1, 2)]
+    by = {r.name: r.bearer for r in nv.link_names(frame(spark, rows)).collect()}
+    assert {n: by[n] for n in wrong} == wrong
+    assert by["Samuel Famgender"] == "samuel famgender" and by["Samuel Fumpender"] == "samuel fumpender"
+
+
+def test_near_forms_at_two_edits(spark, monkeypatch):
+    monkeypatch.setattr(nv, "FORMS_PER_PIVOT", 20)
+    rnd = random.Random(3)
+    forms = sorted({"".join(rnd.choice("abcd ") for _ in range(rnd.randint(3, 9))) for _ in range(250)})
+    got = {(r.a, r.b, r.d) for r in nv.near_forms(spark.createDataFrame([(f,) for f in forms], "form string"), 2).collect()}
+    assert got == {(a, b, d) for i, a in enumerate(forms) for b in forms[i + 1 :] if (d := nv.distance(a, b)) <= 2}
