@@ -6,6 +6,9 @@ halves keep enough rows; where a half would be too small the search ascends to t
 the same size in all trees. What is left is the longest prefix, of variable length, with enough
 candidates, and all rows of such a run are compared with each other. A row's best candidates from
 all trees are merged.
+
+Rows that share a whole string and are too many for a run are a dense group: it is centred on its
+mean and hashed again with fresh planes, several times over, until its pieces fit.
 """
 
 from __future__ import annotations
@@ -26,12 +29,21 @@ HASH_BITS = 40
 LEAST, MOST = 1600, 4800
 #: Rows of one tree that a task takes, about; sets the number of partitions.
 TASK_ROWS = 24_000
+#: Trees that a dense group gets for each tree it is dense in, and the most times it is hashed again.
+AGAIN, ROUNDS = 3, 8
 
 
 def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, trees * HASH_BITS)).astype(np.float32)
 
 
+def _tail(rid: np.ndarray, tree) -> np.ndarray:
+    """22 bits of a row, other ones in each tree."""
+    x = rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(tree).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(42)).astype(np.int64)
+
+
 def _hash(dim: int, trees: int, seed: int):
     """Arrow batches (rid, chunk_id, synced_at, vector) -> with unit vector, its hash, and keys."""
 
@@ -48,9 +60,8 @@ def _hash(dim: int, trees: int, seed: int):
             v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
             half = v.astype(np.float16)
             rid = b.column("rid").to_numpy()[ok]
-            tail = ((rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
             bits = (v @ planes > 0).reshape(len(v), trees, HASH_BITS)
-            keys = (bits @ place).astype(np.int64) << 22 | tail[:, None]
+            keys = (bits @ place).astype(np.int64) << 22 | _tail(rid[:, None], np.arange(trees)[None, :])
             keep = pa.array(ok)
             raw = [row.tobytes() for row in half]
             yield pa.RecordBatch.from_arrays(
@@ -64,6 +75,77 @@ def _hash(dim: int, trees: int, seed: int):
     return run
 
 
+def _units(b: pa.RecordBatch, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float16).reshape(-1, dim)
+
+
+def _sums(dim: int):
+    """Arrow batches (run, unit) -> the sum of each run's vectors, by position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows:
+                names, at = np.unique(b.column("run").to_numpy(), return_inverse=True)
+                v = _units(b, dim).astype(np.float64)
+                for i, name in enumerate(names):
+                    sums[name] = sums.get(name, 0) + v[at == i].sum(axis=0)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["run", "sums"])
+
+    return run
+
+
+def _hash_again(dim: int, trees: int, seed: int):
+    """Arrow batches (rid, unit, tree, run, mean) -> with the key of the centred vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = _planes(dim, trees, seed).reshape(dim, trees, HASH_BITS).astype(np.float64)
+        place = (1 << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64)).astype(np.float64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = _units(b, dim).astype(np.float64) - b.column("mean").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            rid, tree = b.column("rid").to_numpy(), b.column("tree").to_numpy()
+            keys = np.empty(len(rid), np.int64)
+            for t in np.unique(tree):
+                mine = tree == t
+                keys[mine] = ((v[mine] @ planes[:, t] > 0) @ place).astype(np.int64) << 22
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid"), b.column("unit"), b.column("tree"), b.column("run"), pa.array(keys | _tail(rid, tree))], names=["rid", "unit", "tree", "run", "key"]
+            )
+
+    return run
+
+
+def _split_dense(forest: DataFrame, dim: int, trees: int, most: int, seed: int) -> tuple[DataFrame, int]:
+    """``rid, unit, tree, run, key`` with no string that more than ``most`` rows of a run share; rows added.
+
+    What is broadcast has a row per dense group, so at most one per ``most`` rows.
+    """
+    done, left, added = None, forest, 0
+    for i in range(ROUNDS):
+        string = F.shiftright("key", 22)
+        dense = left.groupBy("tree", "run", string.alias("string")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+        dense = stage(dense.withColumn("next", F.xxhash64("tree", "run", "string")), "dense")
+        if dense.isEmpty():
+            break
+        marked = left.withColumn("string", string).join(F.broadcast(dense.select("tree", "run", "string", "next", "n")), ["tree", "run", "string"], "left")
+        kept = marked.where("next is null").select("rid", "unit", "tree", "run", "key")
+        done = kept if done is None else done.unionByName(kept)
+        inside = marked.where("next is not null").select("rid", "unit", "tree", F.col("next").alias("run"), "n")
+        sums = inside.select("run", "unit").mapInArrow(_sums(dim), "run long, sums array<double>").select("run", F.posexplode("sums").alias("at", "x"))
+        means = sums.groupBy("run", "at").agg(F.sum("x").alias("x")).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("sums"))
+        means = means.join(dense.select(F.col("next").alias("run"), "n"), "run").select("run", F.transform("sums", lambda s: s["x"] / F.col("n")).alias("mean"))
+        means = stage(means, "means")
+        copies = AGAIN if i == 0 else 1
+        added += (copies - 1) * (dense.agg(F.sum("n")).first()[0] or 0)
+        more = inside.join(F.broadcast(means), "run").withColumn("tree", F.explode(F.array(*[F.col("tree") + trees * c for c in range(copies)])))
+        again = more.select("rid", "unit", "tree", "run", "mean").mapInArrow(_hash_again(dim, trees * AGAIN, seed + 1 + i), "rid long, unit binary, tree int, run long, key long")
+        left = stage(again, "again")
+    return (left if done is None else done.unionByName(left)), added
+
+
 def leaves(keys: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
     """Runs of a sorted key array: longest shared prefixes that keep at least ``least`` rows.
 
@@ -87,7 +169,7 @@ def leaves(keys: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
 
 
 def _search(dim: int, k: int, least: int, most: int):
-    """Sorted Arrow batches (tree, key, rid, unit) of a partition -> best candidates per row."""
+    """Sorted Arrow batches (tree, run, key, rid, unit) of a partition -> best candidates per row."""
 
     def best(rid: np.ndarray, v: np.ndarray) -> pa.RecordBatch | None:
         n = len(rid)
@@ -110,11 +192,12 @@ def _search(dim: int, k: int, least: int, most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            tree, key, rid, v = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            for t in np.unique(tree):
-                mine = tree == t
-                kk, rr, vv = key[mine], rid[mine], v[mine]
-                for a, b in leaves(kk, least, most):
+            tree, group, key, rid, v = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            edges = np.nonzero((np.diff(tree) != 0) | (np.diff(group) != 0))[0] + 1
+            for start, stop in zip([0, *edges], [*edges, len(key)]):
+                rr, vv = rid[start:stop], v[start:stop].astype(np.float64)
+                vv /= np.linalg.norm(vv, axis=1, keepdims=True)  # half precision changes lengths more than near-copies differ
+                for a, b in leaves(key[start:stop], least, most):
                     if (found := best(rr[a:b], vv[a:b].astype(np.float32))) is not None:
                         yield found
 
@@ -122,8 +205,8 @@ def _search(dim: int, k: int, least: int, most: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            unit = np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float16).reshape(-1, dim)
-            parts.append((b.column("tree").to_numpy(), b.column("key").to_numpy(), b.column("rid").to_numpy(), unit))
+            unit = _units(b, dim)
+            parts.append((b.column("tree").to_numpy(), b.column("run").to_numpy(), b.column("key").to_numpy(), b.column("rid").to_numpy(), unit))
             held += b.num_rows
             if held >= 8 * TASK_ROWS:  # a partition that came out larger is taken in sorted stretches
                 yield from flush(parts)
@@ -169,13 +252,14 @@ def nearest(
     heads = stage(heads.select("same", "rep", "n", "ids"), "heads")
 
     units = hashed.join(heads.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    forest = units.select("rid", "unit", F.posexplode("keys").alias("tree", "key"))
-    rows_in = heads.count() * trees
+    forest = units.select("rid", "unit", F.lit(0).cast("long").alias("run"), F.posexplode("keys").alias("tree", "key"))
+    forest, added = _split_dense(forest, dim, trees, most, seed)
+    rows_in = heads.count() * trees + added
     tasks = max(1, -(-rows_in // TASK_ROWS))
     found = (
-        forest.repartitionByRange(tasks, "tree", "key")
-        .sortWithinPartitions("tree", "key")
-        .select("tree", "key", "rid", "unit")
+        forest.repartitionByRange(tasks, "tree", "run", "key")
+        .sortWithinPartitions("tree", "run", "key")
+        .select("tree", "run", "key", "rid", "unit")
         .mapInArrow(_search(dim, k, least, most), "rid long, near array<struct<far:float,rid:long>>")
     )
     merged = found.groupBy("rid").agg(F.collect_list("near").alias("all"))  # one entry a tree

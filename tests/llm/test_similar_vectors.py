@@ -73,3 +73,23 @@ def test_leaves_are_prefix_runs(seed):
     runs = sv.leaves(keys, 100, 400)
     assert runs[0][0] == 0 and runs[-1][1] == len(keys) and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
     assert all(b - a >= 100 for a, b in runs[:-1])
+
+
+def test_recall_in_a_dense_group_larger_than_a_run(spark):
+    rnd = np.random.default_rng(7)
+    centre = rnd.standard_normal(16)
+    dense = centre / np.linalg.norm(centre) + 0.004 * rnd.standard_normal((3000, 16))
+    rows = [(f"g{i:04}", v, T) for i, v in enumerate(dense)] + [(f"r{i:04}", v, T) for i, v in enumerate(rnd.standard_normal((1500, 16)))]
+    got = {}
+    for r in sv.nearest(frame(spark, rows), 5, dim=16, least=100, most=300).collect():
+        got.setdefault(r.chunk_id, set()).add(r.neighbour_id)
+    half = {k: np.float16(v / np.linalg.norm(v)).astype(float) for k, v, _ in rows}
+    want = brute(half, 5)
+    assert len(got) == len(rows) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[k] & want[k]) / 5 for k in want if k.startswith("g")]) >= 0.8
+
+
+def test_tails_differ_between_trees():
+    rid = np.arange(2000)
+    a, b = sv._tail(rid, 0), sv._tail(rid, 1)
+    assert ((a >> 19) == (b >> 19)).mean() < 0.2 and a.min() >= 0 and a.max() < 1 << 22
