@@ -16,7 +16,7 @@ from chunkweave.functions import scoring as sc
 from chunkweave.operators import embed, entities, graph, knn
 from chunkweave.operators.stats import percentile
 from chunkweave.plans import views as v
-from chunkweave.session import shared_dir
+from chunkweave.session import shared_dir, stage
 from chunkweave.sources.tables import current_chunks, table
 from chunkweave.streaming import sync
 
@@ -82,6 +82,7 @@ def edge_candidates(s, d):
 
 
 def percentile_threshold(s, d):
+    """The percentile over the candidates of the stated set; ``corpus_threshold`` takes all chunks."""
     c = v.candidates(s, d)
     return graph.score_range(c).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(F.lit(percentile(c, "score", config.PRUNE_PERCENTILE)), 6).alias("threshold"))
 
@@ -97,9 +98,26 @@ def topk_neighbors(s, d):
 
 
 def count_with_neighbors(s, d):
+    """Counts of the stated set; ``corpus_with_neighbors`` takes all chunks."""
     return graph.with_neighbours(graph.prune(v.candidates(s, d)))
 
 
+def _linked_columns(s, d):
+    """What edges are made of, without the texts, written once."""
+    return stage(v.chunks(s, d, "vector", "entities", "keywords"), "chunks")
+
+
+def corpus_threshold(s, d):
+    """The percentile over the candidates of all chunks, by the index: the one that prunes the whole graph."""
+    c = graph.all_candidates(_linked_columns(s, d))
+    return graph.score_range(c).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(F.lit(percentile(c, "score", config.PRUNE_PERCENTILE)), 6).alias("threshold"))
+
+
+def corpus_with_neighbors(s, d):
+    """How many chunks of the whole graph keep an edge, and how many edges it has."""
+    return graph.with_neighbours(graph.build(_linked_columns(s, d)))
+
+
 def build_neighbors(s, d):
     """The whole graph by the index: every chunk's best edges, pruned at the corpus percentile."""
     return _rounded(graph.build(v.stored_chunks(s, d)))
@@ -170,7 +188,8 @@ def embed_doc(s, d):
 QUERIES = {
     "dot_product": dot_product, "cosine": cosine, "jaccard": jaccard, "edge_score": edge_score, "classify_edge": classify_edge, "entity_overlap": entity_overlap,
     "knn_join": knn_join, "edge_candidates": edge_candidates, "percentile_threshold": percentile_threshold, "filter_threshold": filter_threshold,
-    "topk_neighbors": topk_neighbors, "count_with_neighbors": count_with_neighbors, "build_neighbors": build_neighbors, "neighbor_lists": neighbor_lists,
+    "topk_neighbors": topk_neighbors, "count_with_neighbors": count_with_neighbors, "corpus_threshold": corpus_threshold,
+    "corpus_with_neighbors": corpus_with_neighbors, "build_neighbors": build_neighbors, "neighbor_lists": neighbor_lists,
     "index_recall": index_recall, "build_index": build_index, "neighbors_incremental": neighbors_incremental, "sync_incremental": sync_incremental,
     "sync_stream": sync_stream, "embed_doc": embed_doc,
 }

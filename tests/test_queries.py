@@ -26,3 +26,26 @@ def test_entry_points(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_corpus_figures_take_every_chunk(spark):
+    import numpy as np
+
+    from chunkweave.plans import views
+
+    rows = [r for r in views.chunks(spark, FOLDER, "vector", "entities", "keywords").collect() if r.vector is not None]
+    x = np.array([r.vector for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a and b else 0.0
+    ids = np.array([r.chunk_id for r in rows])
+    scores = [
+        [0.60 * s[i, j] + 0.25 * jaccard(a.entities, rows[j].entities) + 0.15 * jaccard(a.keywords, rows[j].keywords) for j in np.lexsort((ids, -np.round(s[i], 6)))[:10]]
+        for i, a in enumerate(rows)
+    ]
+    t = np.percentile(scores, 85)
+    got = QUERIES["corpus_threshold"](spark, FOLDER).first()
+    assert got.n == 10 * len(rows) and np.allclose([got.low, got.high, got.threshold], [np.min(scores), np.max(scores), t], atol=1e-4)
+    kept = QUERIES["corpus_with_neighbors"](spark, FOLDER).first()
+    assert abs(kept.n_edges - np.sum(scores >= t)) <= 0.002 * got.n and abs(kept.n_chunks - np.sum(np.max(scores, axis=1) >= t)) <= 0.01 * len(rows)
