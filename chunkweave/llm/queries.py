@@ -134,6 +134,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk's class of equal sets, named by its first chunk, and how many other classes are similar: no pair of copies."""
+    members, links = similar_sets.similar_points(_sets(spark, d), 0.6, 4)
+    ends = links.select(F.explode(F.array("a", "b")).alias("pid")).groupBy("pid").agg(F.count("*").alias("n_links"))
+    classes = members.groupBy("pid").agg(F.min("key").alias("first")).join(ends, "pid", "left")
+    return members.join(classes, "pid").select("key.field", "key.chunk_id", F.col("first.chunk_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Similar pairs of classes, each named by its first chunk."""
+    members, links = similar_sets.similar_points(_sets(spark, d), 0.6, 4)
+    first = stage(members.groupBy("pid").agg(F.min("key").alias("first")), "classes")
+    a, b = (first.select(F.col("pid").alias(p), F.col("first").alias(f"f{p}")) for p in "ab")
+    both = links.join(a, "a").join(b, "b").select(F.least("fa", "fb").alias("x"), F.greatest("fa", "fb").alias("y"), "similarity")
+    return both.select("x.field", F.col("x.chunk_id").alias("class_a"), F.col("y.chunk_id").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The 5 nearest chunks of each chunk, with cosine."""
     return similar_vectors.nearest(table(spark, d, "chunks"), k=5)
@@ -159,6 +176,8 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p1_classes": p1_classes,
+        "p1_links": p1_links,
         "p2_found": p2_found,
         "p2_nearest": p2_nearest,
         "p3_found": p3_found,
@@ -178,7 +197,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-_P1 = r"""
+_P1_SETS = r"""
   WITH c AS (SELECT chunk_id, max_by(source_nid, synced_at) AS nid, max_by(keywords, synced_at) AS k, max_by(entities, synced_at) AS e
              FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
   m AS (SELECT 'keywords' AS field, chunk_id, nid, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS m FROM (SELECT chunk_id, nid, unnest(k) AS x FROM c)
@@ -187,10 +206,26 @@ _P1 = r"""
         FROM (SELECT chunk_id, nid, unnest(e) AS x FROM c) WHERE trim(regexp_replace(x.name, '\s+', ' ', 'g')) <> ''),
   n AS (SELECT field, chunk_id, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 4),
   s AS (SELECT m.*, n.n FROM m JOIN n USING (field, chunk_id))
+"""
+_P1 = (
+    _P1_SETS
+    + """
   SELECT a.field, a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b
   FROM s a JOIN s b ON a.field = b.field AND a.m = b.m AND a.chunk_id < b.chunk_id AND a.nid IS DISTINCT FROM b.nid
   GROUP BY ALL HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
 """
+)
+_P1_LINKS = (
+    _P1_SETS
+    + """,
+  w AS (SELECT field, chunk_id, list_sort(list(m)) AS w FROM s GROUP BY ALL),
+  g AS (SELECT field, chunk_id, min(chunk_id) OVER (PARTITION BY field, w) AS class_id FROM w),
+  f AS (SELECT s.* FROM s JOIN g USING (field, chunk_id) WHERE class_id = chunk_id),
+  l AS (SELECT a.field, a.chunk_id AS class_a, b.chunk_id AS class_b, count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE) AS similarity
+    FROM f a JOIN f b ON a.field = b.field AND a.m = b.m AND a.chunk_id < b.chunk_id
+    GROUP BY ALL HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9)
+"""
+)
 
 _P5_LONG = """
   WITH n AS (SELECT nid, body, row_number() OVER (PARTITION BY nid ORDER BY changed_at DESC, body) AS r FROM nodes WHERE nid IS NOT NULL),
@@ -211,6 +246,10 @@ _P6_RUNS = r"""
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1,
+        "p1_links": _P1_LINKS + "SELECT field, class_a, class_b, round(similarity, 6) AS similarity FROM l",
+        "p1_classes": _P1_LINKS
+        + """, e AS (SELECT field, class_a AS class_id FROM l UNION ALL SELECT field, class_b FROM l), k AS (SELECT field, class_id, count(*) AS n_links FROM e GROUP BY ALL)
+  SELECT field, chunk_id, class_id, coalesce(n_links, 0) AS n_links FROM g LEFT JOIN k USING (field, class_id)""",
         "p5_found": _P5_LONG
         + r"""
   SELECT item_kind, item_key,

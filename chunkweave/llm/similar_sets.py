@@ -1,37 +1,43 @@
 """All similar pairs between set-valued records: metric pivot partitioning under Jaccard distance.
 
-Equal sets are one point. Points within ``REACH`` of each other are found first; of those, a point
-that no neighbour precedes (by a hash) is a pivot, and every other point goes home to its nearest
-pivot within reach. A point without a pivot in reach is its own pivot. So every cell is a ball whose
-radius is known, at most ``REACH``. By the triangle inequality a point y can have a partner x in the
-cell of p only if ``d(y, p) <= d(x, p) + r <= radius(p) + r``; y is replicated to exactly those cells
-and is joined there, exactly, with the points at home.
-
-Finding the pivots near a point is a join on members. Two sets with Jaccard similarity s share at
-least ``ceil(s / (1 + s) * (|x| + |y|))`` members, so they meet in the first ``|x| - ceil(s |x|) + 1``
-members of each, in any common order; with rare members first, members that many sets hold seldom
-become join keys.
+Equal sets are one point. In each round pivots are drawn from the points that have no cell yet, and a
+point goes home to its nearest pivot, if one is near enough for the bounds below to tell anything.
+What is left goes to the next round, with more pivots for fewer points, so dense regions are
+partitioned by few pivots and sparse ones by many. A point y can have a partner x in the cell of p only
+within the triangle inequality: with D the size of the symmetric difference, whose share of the
+union is the Jaccard distance, ``D(y, p) <= D(x, p) + D(x, y)``, and two sets that are similar enough
+have ``D(x, y) <= c (|x| + |y|)``, ``c = (1 - s) / (1 + s)``. y is replicated to exactly the cells
+that this allows. Large cells are partitioned again by pivots drawn inside them. Points at home and
+replicas are joined exactly within a cell, and nowhere else.
+
+A point that shares no member with a pivot is at distance 1 of it, so distances to pivots are worked
+out where a member is shared: points meet pivots (never other points) on members, the most frequent
+one of each set left aside, as a single shared member never suffices.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkweave.session import stage
 
-#: Greatest radius of a cell.
-REACH = 0.2
+#: Pivots of the first round, how many times more each later round has, and the share of the points
+#: without a cell that they may be; the share of all points at which the rest become pivots.
+FIRST, GROWTH, MOST_SHARE, LAST_SHARE = 1_024, 8, 0.5, 0.02
+#: Sets that hold a member, per part of a member's sets.
+HOT = 20_000
+#: Points at home in a cell that is not partitioned again; pivots drawn inside a larger one; how often.
+CELL, FAN, DEPTH = 256, 32, 5
+#: Points at home, and replicas, that meet in one piece of a cell.
+HOME_BLOCK, GUEST_BLOCK = 512, 4_096
 _EPS = 1e-9
 
 
-def _prefix(size: Column, least: Column) -> Column:
-    """How many of the rarest members must be looked at to meet any set that is ``least`` similar."""
-    return (size - F.ceil(size * least - _EPS) + 1).cast("int")
-
-
 def _points(records: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
-    """(points: pid, size, members rarest first), (membership: pid, key, owner)."""
+    """(points: pid, s = members rarest first, parts = parts of each member, size), (membership: pid, key, owner)."""
     sets = records.select("key", "owner", F.array_sort(F.array_distinct(F.transform(F.filter("members", lambda m: m.isNotNull()), lambda m: F.xxhash64(m)))).alias("s"))
     sets = sets.where(F.col("key").isNotNull() & (F.size("s") >= min_size))
     sets = stage(sets.select("key", "owner", "s", F.xxhash64("s").alias("pid")), "sets")
@@ -43,76 +49,138 @@ def _points(records: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame]:
         .groupBy("pid")
         .agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("x"))  # the members of one set
     )
-    points = ranked.select("pid", F.transform("x", lambda e: e["m"]).alias("s")).withColumn("size", F.size("s"))
+    parts = F.transform("x", lambda e: (1 + F.floor(e["n"] / HOT)).cast("int"))
+    points = ranked.select("pid", F.transform("x", lambda e: e["m"]).alias("s"), parts.alias("parts")).withColumn("size", F.size("s"))
     return stage(points, "points"), sets.select("pid", "key", "owner")
 
 
-def _distance(a: str, b: str) -> Column:
-    shared = F.size(F.array_intersect(F.col(f"{a}s"), F.col(f"{b}s")))
-    return 1 - shared / (F.col(f"{a}size") + F.col(f"{b}size") - shared)
+def _shared(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(a, b))
 
 
-def _near(left: DataFrame, right: DataFrame, far: Column, most: float) -> DataFrame:
-    """(pid, pivot, d) for points and pivots (p*, with ``far`` per pivot <= most) at distance <= far.
+def _near(points: DataFrame, pivots: DataFrame, least: int) -> DataFrame:
+    """(pid, pivot, size, psize, d) of points and pivots that share ``least`` members; d is the symmetric difference.
 
-    The right side's columns are ppid, ps, psize and those in ``far``. Filters by size and by the
-    position of the shared member run on ids and sizes before any set is intersected.
+    A member that many sets hold is split into parts by its points, and its pivots are repeated for
+    each part.
     """
-    lk = left.select("pid", "s", "size", F.posexplode(F.slice("s", 1, _prefix(F.col("size"), F.lit(1 - most)))).alias("i", "m"))
-    least = 1 - far
-    rk = right.select("*", F.posexplode(F.slice("ps", F.lit(1), _prefix(F.col("psize"), least))).alias("j", "m"))
-    small, large = F.least("size", "psize"), F.greatest("size", "psize")
-    need = F.ceil(least / (1 + least) * (F.col("size") + F.col("psize")) - _EPS)
-    room = 1 + F.least(F.col("size") - F.col("i"), F.col("psize") - F.col("j")) - 1
-    hits = (
-        lk.join(rk, "m")
-        .where((small >= large * least - _EPS) & (F.col("i") < _prefix(F.col("size"), least)) & (room >= need))
-        # a pair that shares several of the first members is kept at the first of them only
-        .where(F.element_at(F.array_intersect("s", "ps"), 1) == F.col("m"))
-        .select("pid", F.col("ppid").alias("pivot"), _distance("", "p").alias("d"), far.alias("far"))
-    )
-    return hits.where(F.col("d") <= F.col("far") + _EPS).select("pid", "pivot", "d")
-
-
-def point_pairs(points: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a < b`` of points (pid, s, size) with Jaccard similarity >= threshold, and it."""
-    r = 1 - threshold
-    reach = min(REACH, r)
-    as_pivot = points.select(F.col("pid").alias("ppid"), F.col("s").alias("ps"), F.col("size").alias("psize"))
-    close = stage(_near(points, as_pivot, F.lit(reach), reach).where("pid <> pivot"), "close")
-    # local minima of a hash among close points are pivots
-    turn = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(3)), F.col(c))
-    beaten = close.where(turn("pivot") < turn("pid")).select("pid").distinct()
-    home = (
-        close.join(beaten.select(F.col("pid").alias("pivot")), "pivot", "left_anti")  # pivots only
-        .join(beaten, "pid", "left_semi")
-        .groupBy("pid")
-        .agg(F.min(F.struct("d", "pivot")).alias("x"))
-        .select("pid", "x.pivot", "x.d")
-    )
-    home = stage(points.select("pid").join(home, "pid", "left").select("pid", F.coalesce("pivot", "pid").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d")), "home")
-    cells = home.groupBy("pivot").agg(F.max("d").alias("radius"), F.count("*").alias("n"))
-    # replicas by the triangle inequality
-    pivots = as_pivot.join(cells.select(F.col("pivot").alias("ppid"), "radius"), "ppid")
-    guests = _near(points, pivots, F.col("radius") + F.lit(r), reach + r)
-    # within a cell: home x (home and guests). A cell of one point needs no second look at sets.
-    single = cells.where("n = 1").select("pivot")
-    crowd = cells.where("n > 1").select("pivot")
-    guests = stage(guests, "guests")
-    alone = guests.join(home.select("pivot", F.col("pid").alias("owner")).join(single, "pivot", "left_semi"), "pivot").select(
-        F.col("owner").alias("x"), F.col("pid").alias("y"), (1 - F.col("d")).alias("similarity")
-    )
-    busy_home = home.join(crowd, "pivot", "left_semi").join(points, "pid").select("pivot", F.col("pid").alias("x"), F.col("d").alias("xd"), F.col("s").alias("xs"), F.col("size").alias("xsize"))
-    busy_guests = guests.join(crowd, "pivot", "left_semi").join(points, "pid").select("pivot", F.col("pid").alias("y"), F.col("d").alias("yd"), F.col("s").alias("ys"), F.col("size").alias("ysize"))
-    both = (
-        busy_home.join(busy_guests, "pivot")
-        .where((F.abs(F.col("xd") - F.col("yd")) <= r + _EPS) & (F.least("xsize", "ysize") >= F.greatest("xsize", "ysize") * threshold - _EPS))
-        .select("x", "y", (1 - _distance("x", "y")).alias("similarity"))
-    )
-    pairs = alone.unionByName(both).where((F.col("x") != F.col("y")) & (F.col("similarity") >= threshold - _EPS))
-    return (
-        pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("similarity").alias("similarity"))
-    )
+    first = lambda s: F.slice(s, F.lit(1), F.size(s) - (least - 1))
+    lk = points.select("pid", "s", "size", "parts", F.posexplode(first("s")).alias("i", "m"))
+    lk = lk.select("pid", "s", "size", "m", F.pmod(F.xxhash64("pid", F.lit(7)), F.element_at("parts", F.col("i") + 1)).cast("int").alias("part"))
+    rk = pivots.select(F.col("pid").alias("pivot"), F.col("s").alias("ps"), F.col("size").alias("psize"), "parts", F.posexplode(first("s")).alias("i", "m"))
+    rk = rk.select("pivot", "ps", "psize", "m", F.explode(F.sequence(F.lit(0), F.element_at("parts", F.col("i") + 1) - 1)).alias("part"))
+    met = lk.join(rk, ["m", "part"]).withColumn("both", F.array_intersect("s", "ps"))
+    # a pair that shares several of these members is kept at the first of them only
+    met = met.where((F.size("both") >= least) & (F.element_at("both", 1) == F.col("m")))
+    return met.select("pid", "pivot", "size", "psize", (F.col("size") + F.col("psize") - 2 * F.size("both")).alias("d"))
+
+
+def _cells(home: DataFrame, c: float) -> DataFrame:
+    """(cell, reach, n): how far a replica may lie, and the points at home."""
+    return home.groupBy("cell").agg(F.max(F.col("d") + c * F.col("size")).alias("reach"), F.count("*").alias("n"))
+
+
+def _within(c: float) -> Column:
+    return F.col("d") - c * F.col("size") <= F.col("reach") + _EPS
+
+
+def partition(points: DataFrame, threshold: float, min_size: int) -> tuple[DataFrame, DataFrame]:
+    """(home: cell, pid, size, d; guests: the same columns) of points(pid, s, parts, size).
+
+    Every point is at home in one cell. Of two points that are similar enough, at least one is a guest
+    in the cell of the other; a point is also a guest of its own cell.
+    """
+    c = (1 - threshold) / (1 + threshold)
+    # the members that a replica shares with the pivot at least; 2 unless sets may be tiny
+    least = 2 if (1 - c) * (math.ceil(threshold * min_size - _EPS) + min_size) > 2 + _EPS else 1
+    n = points.count()
+    homes, nears = None, None
+    rest, left, wanted = points, n, float(FIRST)
+    turn = 0
+    while left:
+        last = left <= max(64, LAST_SHARE * n)
+        share = 1.0 if last else min(MOST_SHARE, wanted / left)
+        drawn = F.lit(True) if last else F.pmod(F.xxhash64("pid", F.lit(31 + turn)), F.lit(1_000_000_000)) < int(share * 1_000_000_000)
+        near = stage(_near(rest, rest.where(drawn), least), "near")
+        # a pivot tells of a point's partners if the smallest of them must share enough with it
+        partner = (1 - c) * F.ceil(threshold * F.col("size") - _EPS)
+        tells = partner + F.col("psize") - F.col("d") - c * F.col("size") > 2 * (least - 1) + _EPS
+        nearest = near.where(tells).groupBy("pid").agg(F.min(F.struct((F.col("d") / (F.col("size") + F.col("psize") + F.col("d"))).alias("far"), "pivot", "d", "size")).alias("x"))
+        home = stage(nearest.select(F.col("x.pivot").alias("cell"), "pid", "x.size", "x.d"), "home")
+        homes = home if homes is None else homes.unionByName(home)
+        near = near.select(F.col("pivot").alias("cell"), "pid", "size", "d")
+        nears = near if nears is None else nears.unionByName(near)
+        left = 0 if last else left - home.count()
+        rest = points.join(homes.select("pid"), "pid", "left_anti")
+        turn, wanted = turn + 1, wanted * GROWTH
+    if homes is None:
+        none = points.sparkSession.createDataFrame([], "cell long, pid long, size int, d int")
+        return none, none
+    homes = stage(homes, "homes")
+    guests = nears.join(_cells(homes, c), "cell").where(_within(c)).select("cell", "pid", "size", "d")
+    return _refine(homes, stage(guests, "guests"), points, c)
+
+
+def _refine(home: DataFrame, guests: DataFrame, points: DataFrame, c: float) -> tuple[DataFrame, DataFrame]:
+    """Cells with more than ``CELL`` points at home, partitioned again by pivots drawn inside them."""
+    done_home, done_guests = None, None
+    join = lambda a, b: b if a is None else a.unionByName(b)
+    sets = points.select("pid", "s")
+    for level in range(DEPTH):
+        large = home.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+        large = stage(large.join(guests.groupBy("cell").agg(F.count("*").alias("g")), "cell"), "large")  # a row per CELL points at most
+        if large.isEmpty():
+            break
+        done_home = join(done_home, home.join(large, "cell", "left_anti"))
+        done_guests = join(done_guests, guests.join(large, "cell", "left_anti"))
+        parts = large.select("cell", "n", (1 + F.floor(F.col("g") / HOT)).cast("int").alias("parts"))
+        inner = home.join(parts, "cell")
+        drawn = inner.where(F.pmod(F.xxhash64("pid", F.lit(91 + level)), F.lit(1_000_000)) < 1_000_000 * FAN / F.col("n")).join(sets, "pid")
+        pivots = stage(drawn.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pid").alias("pivot"), F.col("s").alias("ps"), F.col("size").alias("psize")), "inner")
+
+        def to_pivots(df: DataFrame, role: str) -> DataFrame:
+            rows = df.select("cell", "pid", "size", "d").join(parts, "cell").join(sets, "pid")
+            rows = rows.withColumn("part", F.pmod(F.xxhash64("pid", F.lit(7)), F.col("parts")).cast("int")).select("cell", "part", "pid", "size", "s", F.col("d").alias("old"))
+            met = rows.join(pivots, ["cell", "part"], "left")  # a cell without a drawn pivot stays as it is
+            d = F.when(F.col("pivot").isNull(), F.col("old")).otherwise(F.col("size") + F.col("psize") - 2 * _shared("s", "ps"))
+            inside = F.when(F.col("pivot").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "pivot", F.lit(level)))
+            return met.select(F.col("cell").alias("outer"), inside.alias("cell"), "pid", "size", d.alias("d")).withColumn("role", F.lit(role))
+
+        near_home = to_pivots(home.join(large, "cell", "left_semi"), "home")
+        home = near_home.groupBy("outer", "pid").agg(F.min(F.struct("d", "cell", "size")).alias("x")).select("x.cell", "pid", "x.size", "x.d")
+        home = stage(home, "inner_home")
+        near_guests = to_pivots(guests.join(large, "cell", "left_semi"), "guest")
+        guests = stage(near_guests.join(_cells(home, c), "cell").where(_within(c)).select("cell", "pid", "size", "d"), "inner_guests")
+    return join(done_home, home), join(done_guests, guests)
+
+
+def point_pairs(points: DataFrame, threshold: float, min_size: int = 1) -> DataFrame:
+    """Pairs ``a < b`` of points (pid, s, parts, size) with Jaccard similarity >= threshold, and it.
+
+    ``alone`` tells pairs that no cell with more than one point at home has met.
+    """
+    c = (1 - threshold) / (1 + threshold)
+    home, guests = partition(points, threshold, min_size)
+    sizes = home.groupBy("cell").agg(F.count("*").alias("n")).join(guests.groupBy("cell").agg(F.count("*").alias("g")), "cell")
+    sizes = sizes.where("g > 1").select("cell", "n", F.ceil(F.col("n") / HOME_BLOCK).cast("int").alias("hb"), F.ceil(F.col("g") / GUEST_BLOCK).cast("int").alias("gb"))
+    sizes = stage(sizes, "cells")
+    block = lambda n, seed: F.pmod(F.xxhash64("pid", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    sets = points.select("pid", "s")
+    rows = lambda df: df.join(sizes, "cell").join(sets, "pid")
+    left = rows(home).select("cell", "n", block(F.col("hb"), 1).alias("i"), every(F.col("gb")).alias("j"), F.col("pid").alias("x"), F.col("size").alias("xn"), F.col("d").alias("xd"), F.col("s").alias("xs"))
+    right = rows(guests).select("cell", every(F.col("hb")).alias("i"), block(F.col("gb"), 2).alias("j"), F.col("pid").alias("y"), F.col("size").alias("yn"), F.col("d").alias("yd"), F.col("s").alias("ys"))
+    most = c * (F.col("xn") + F.col("yn")) + _EPS
+    met = left.join(right, ["cell", "i", "j"]).where((F.col("x") != F.col("y")) & (F.abs(F.col("xd") - F.col("yd")) <= most))
+    met = met.withColumn("o", _shared("xs", "ys")).where(F.col("xn") + F.col("yn") - 2 * F.col("o") <= most)
+    similarity = F.col("o") / (F.col("xn") + F.col("yn") - F.col("o"))
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max(similarity).alias("similarity"), F.bool_and(F.col("n") == 1).alias("alone"))
+
+
+def similar_points(records: DataFrame, threshold: float = 0.6, min_size: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(membership: pid, key, owner), (links: a, b, similarity, alone): the pairs of different sets, copies not expanded."""
+    points, members = _points(records, min_size)
+    return members, point_pairs(points, threshold, min_size)
 
 
 def similar_pairs(records: DataFrame, threshold: float = 0.6, min_size: int = 4, right: DataFrame | None = None) -> DataFrame:
@@ -130,7 +198,7 @@ def similar_pairs(records: DataFrame, threshold: float = 0.6, min_size: int = 4,
         records = records.select(F.lit(0).alias("side"), "key", "owner", "members").unionByName(right.select(F.lit(1).alias("side"), "key", "owner", "members"))
         records = records.select(F.struct("side", "key").alias("key"), "owner", "members")
     points, members = _points(records, min_size)
-    links = point_pairs(points, threshold)
+    links = point_pairs(points, threshold, min_size).select("a", "b", "similarity")
     links = links.unionByName(points.select(F.col("pid").alias("a"), F.col("pid").alias("b"), F.lit(1.0).alias("similarity")))
     # Owners first: a point and a point of one and the same owner give no pair, however many rows.
     owned = members.select("pid", "owner").distinct()

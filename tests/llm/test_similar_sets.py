@@ -43,6 +43,38 @@ def test_against_brute_force(spark, seed, threshold):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_small_bounds_lose_nothing(spark, monkeypatch):
+    """Rounds, cells in cells, parts of hot members and pieces of cells, all crossed by one dense group."""
+    for name, value in {"FIRST": 4, "GROWTH": 3, "HOT": 15, "CELL": 10, "FAN": 4, "DEPTH": 3, "HOME_BLOCK": 6, "GUEST_BLOCK": 9}.items():
+        monkeypatch.setattr(ss, name, value)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(220):
+        core = "abcdef" if i < 130 else "ghijkl"  # a group of more than half of the rows
+        s = {m for m in core if rnd.random() < 0.9} | {f"t{rnd.randint(0, 6)}" for _ in range(rnd.randint(0, 3))}
+        rows.append((f"k{i:03}", i, sorted(s)))
+    got = {(r.key_a, r.key_b): r.similarity for r in ss.similar_pairs(frame(spark, rows), 0.6, 4).collect()}
+    assert set(got) == set(brute(rows, 0.6, 4)) and len(got) > 1000
+
+
+def test_pairs_come_from_cells(spark, monkeypatch):
+    monkeypatch.setattr(ss, "FIRST", 60)
+    rnd = random.Random(4)
+    rows = [(f"k{i:04}", i, [f"g{i // 30}m{m}" for m in rnd.sample(range(9), 7)] + [f"x{rnd.randint(0, 999)}"]) for i in range(600)]
+    points, _ = ss._points(frame(spark, rows), 4)
+    home, guests = ss.partition(points, 0.6, 4)
+    n = points.count()
+    assert home.count() == home.select("pid").distinct().count() == n and home.select("cell").distinct().count() < n / 3, home.select("cell").distinct().count()
+    alone = {r.alone: r["count"] for r in ss.point_pairs(points, 0.6, 4).groupBy("alone").count().collect()}
+    assert alone.get(True, 0) < 0.02 * alone[False] and guests.count() < 40 * n
+
+
+def test_tiny_sets(spark):
+    rows = [("a", 1, ["x"]), ("b", 2, ["x", "y"]), ("c", 3, ["x"]), ("d", 4, ["y", "z"]), ("e", 5, ["z", "y", "w"])]
+    got = {(r.key_a, r.key_b) for r in ss.similar_pairs(frame(spark, rows), 0.5, 1).collect()}
+    assert got == set(brute(rows, 0.5, 1))
+
+
 def test_between_two_tables(spark):
     left = [("a", 1, list("abcd")), ("b", 1, list("wxyz"))]
     right = [("a", 2, list("abcd")), ("c", 1, list("abcd")), ("d", 3, list("abcde"))]
