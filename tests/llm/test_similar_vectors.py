@@ -38,7 +38,7 @@ def test_recall_of_the_forest(spark):
     x = centres[rnd.integers(0, 60, 4000)] + 0.6 * rnd.standard_normal((4000, 16))
     rows = [(f"c{i:04}", v, T) for i, v in enumerate(x)]
     got = {}
-    for r in sv.nearest(frame(spark, rows), 5, dim=16, least=150, most=500).collect():
+    for r in sv.nearest(frame(spark, rows), 5, dim=16, trees=6, candidates=900, most=1200).collect():
         got.setdefault(r.chunk_id, set()).add(r.neighbour_id)
     want = brute({k: v for k, v, _ in rows}, 5)
     assert np.mean([len(got[k] & want[k]) / 5 for k in want]) >= 0.9
@@ -67,12 +67,50 @@ def test_few_and_none(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_leaves_are_prefix_runs(seed):
+def test_runs_and_ascent_against_brute_force(seed):
     rnd = np.random.default_rng(seed)
-    keys = np.sort(rnd.integers(0, 2**62, 5000) >> rnd.integers(0, 30, 5000) << 2)
-    runs = sv.leaves(keys, 100, 400)
-    assert runs[0][0] == 0 and runs[-1][1] == len(keys) and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
-    assert all(b - a >= 100 for a, b in runs[:-1])
+    rows, trees, most = 300, 3, 40
+    keys = [rnd.integers(0, 2**sv.HASH_BITS, rows) >> rnd.integers(0, 12, rows) for _ in range(trees)]
+    shared = lambda t, i, level: int((keys[t] >> (sv.HASH_BITS - level) == keys[t][i] >> (sv.HASH_BITS - level)).sum())
+    places, bits = [], 1
+    for t in range(trees):
+        for half in (0, 1):  # blocks of the first bit
+            mine = np.nonzero(keys[t] >> (sv.HASH_BITS - bits) == half)[0]
+            mine = mine[np.argsort(keys[t][mine])]
+            counts = sv.run_sizes(keys[t][mine], bits, 10**6)
+            assert all(counts[j, c] == shared(t, i, bits + c) for j, i in enumerate(mine) for c in range(0, sv.LEVELS, 3))
+            places += [(i, counts[j]) for j, i in enumerate(mine)]
+    row, counts = np.array([p[0] for p in places]), np.array([p[1] for p in places])
+    base, first = np.zeros(len(row), int), np.full(len(row), bits)
+    level = sv.ascend(row, base, first, counts, rows, most)
+    for i in range(rows):
+        total = lambda x: sum(shared(t, i, max(x, bits)) for t in range(trees))
+        assert total(level[i]) >= most and (level[i] >= bits + sv.LEVELS - 1 or total(level[i] + 1) < most)
+    assert (sv.ascend(row, base, first, counts, rows, 10**6) == 0).all()  # fewer rows than asked for: all of them
+
+
+def test_blocks_hold_whole_runs(spark):
+    rnd = np.random.default_rng(3)
+    keys = [int(x) for x in np.concatenate([rnd.integers(0, 2**40, 500), rnd.integers(2**39, 2**39 + 2**20, 700)])]
+    forest = spark.createDataFrame([(i, 0, k) for i, k in enumerate(keys)], "rid long, tree int, key long")
+    units = spark.createDataFrame([], "rid long, unit binary")
+    got = sv._grow(forest, units, 1200, 16, 1, 60, 1).collect()
+    assert len(got) == 1200
+    by = {}
+    for r in got:
+        by.setdefault(r.block, set()).add((r.bits, r.key >> (40 - r.bits)))
+    assert all(len(x) == 1 for x in by.values()) and len(set().union(*by.values())) == len(by)
+    counts = {b: sum(r.block == b for r in got) for b in by}
+    assert max(counts.values()) <= 60
+
+
+def test_batches_of_blocks():
+    import pyarrow as pa
+
+    ids = [1, 1, 2, 2, 2, 3, 3, 3, 3, 4]
+    cut = [pa.RecordBatch.from_pydict({"block": ids[a:b], "x": list(range(a, b))}) for a, b in ((0, 3), (3, 3), (3, 4), (4, 6), (6, 10))]
+    got = [(b.column("block").to_pylist(), b.column("x").to_pylist()) for b in sv._by_block(iter(cut))]
+    assert [g[0] for g in got] == [[1, 1], [2, 2, 2], [3, 3, 3, 3], [4]] and sum((g[1] for g in got), []) == list(range(10))
 
 
 def test_recall_in_a_dense_group_larger_than_a_run(spark):
@@ -81,15 +119,9 @@ def test_recall_in_a_dense_group_larger_than_a_run(spark):
     dense = centre / np.linalg.norm(centre) + 0.004 * rnd.standard_normal((3000, 16))
     rows = [(f"g{i:04}", v, T) for i, v in enumerate(dense)] + [(f"r{i:04}", v, T) for i, v in enumerate(rnd.standard_normal((1500, 16)))]
     got = {}
-    for r in sv.nearest(frame(spark, rows), 5, dim=16, least=100, most=300).collect():
+    for r in sv.nearest(frame(spark, rows), 5, dim=16, trees=6, candidates=900, most=300).collect():
         got.setdefault(r.chunk_id, set()).add(r.neighbour_id)
     half = {k: np.float16(v / np.linalg.norm(v)).astype(float) for k, v, _ in rows}
     want = brute(half, 5)
     assert len(got) == len(rows) and all(len(v) == 5 for v in got.values())
     assert np.mean([len(got[k] & want[k]) / 5 for k in want if k.startswith("g")]) >= 0.8
-
-
-def test_tails_differ_between_trees():
-    rid = np.arange(2000)
-    a, b = sv._tail(rid, 0), sv._tail(rid, 1)
-    assert ((a >> 19) == (b >> 19)).mean() < 0.2 and a.min() >= 0 and a.max() < 1 << 22
