@@ -11,8 +11,8 @@ that this allows. Large cells are partitioned again by pivots drawn inside them.
 replicas are joined exactly within a cell, and nowhere else.
 
 A point that shares no member with a pivot is at distance 1 of it, so distances to pivots are worked
-out where a member is shared: points meet pivots (never other points) on members, the most frequent
-one of each set left aside, as a single shared member never suffices.
+out where members are shared: points meet pivots (never other points) on members, the most frequent
+ones of each set left aside, as one or two shared members never suffice.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from chunkweave.session import stage
 #: Pivots of the first round, how many times more each later round has, and the share of the points
 #: without a cell that they may be; the share of all points at which the rest become pivots.
 FIRST, GROWTH, MOST_SHARE, LAST_SHARE = 1_024, 8, 0.5, 0.02
+#: Pivots that are sent to all tasks together: 10,000 sets of ten members are some 10 MB.
+FEW = 10_000
 #: Sets that hold a member, per part of a member's sets.
 HOT = 20_000
 #: Points at home in a cell that is not partitioned again; pivots drawn inside a larger one; how often.
@@ -58,18 +60,18 @@ def _shared(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def _near(points: DataFrame, pivots: DataFrame, least: int) -> DataFrame:
+def _near(points: DataFrame, pivots: DataFrame, least: int, few: bool) -> DataFrame:
     """(pid, pivot, size, psize, d) of points and pivots that share ``least`` members; d is the symmetric difference.
 
     A member that many sets hold is split into parts by its points, and its pivots are repeated for
-    each part.
+    each part. ``few`` pivots are sent to all tasks, so that the points stay where they are.
     """
     first = lambda s: F.slice(s, F.lit(1), F.size(s) - (least - 1))
     lk = points.select("pid", "s", "size", "parts", F.posexplode(first("s")).alias("i", "m"))
     lk = lk.select("pid", "s", "size", "m", F.pmod(F.xxhash64("pid", F.lit(7)), F.element_at("parts", F.col("i") + 1)).cast("int").alias("part"))
     rk = pivots.select(F.col("pid").alias("pivot"), F.col("s").alias("ps"), F.col("size").alias("psize"), "parts", F.posexplode(first("s")).alias("i", "m"))
     rk = rk.select("pivot", "ps", "psize", "m", F.explode(F.sequence(F.lit(0), F.element_at("parts", F.col("i") + 1) - 1)).alias("part"))
-    met = lk.join(rk, ["m", "part"]).withColumn("both", F.array_intersect("s", "ps"))
+    met = lk.join(F.broadcast(rk) if few else rk, ["m", "part"]).withColumn("both", F.array_intersect("s", "ps"))
     # a pair that shares several of these members is kept at the first of them only
     met = met.where((F.size("both") >= least) & (F.element_at("both", 1) == F.col("m")))
     return met.select("pid", "pivot", "size", "psize", (F.col("size") + F.col("psize") - 2 * F.size("both")).alias("d"))
@@ -91,8 +93,8 @@ def partition(points: DataFrame, threshold: float, min_size: int) -> tuple[DataF
     in the cell of the other; a point is also a guest of its own cell.
     """
     c = (1 - threshold) / (1 + threshold)
-    # the members that a replica shares with the pivot at least; 2 unless sets may be tiny
-    least = 2 if (1 - c) * (math.ceil(threshold * min_size - _EPS) + min_size) > 2 + _EPS else 1
+    # members that a replica shares with a pivot at least: what the smallest set has, as its own pivot
+    least = max(1, math.ceil((1 - c) * (math.ceil(threshold * min_size - _EPS) + min_size) / 2 - _EPS))
     n = points.count()
     homes, nears = None, None
     rest, left, wanted = points, n, float(FIRST)
@@ -101,10 +103,10 @@ def partition(points: DataFrame, threshold: float, min_size: int) -> tuple[DataF
         last = left <= max(64, LAST_SHARE * n)
         share = 1.0 if last else min(MOST_SHARE, wanted / left)
         drawn = F.lit(True) if last else F.pmod(F.xxhash64("pid", F.lit(31 + turn)), F.lit(1_000_000_000)) < int(share * 1_000_000_000)
-        near = stage(_near(rest, rest.where(drawn), least), "near")
+        near = stage(_near(rest, rest.where(drawn), least, share * left <= FEW), "near")
         # a pivot tells of a point's partners if the smallest of them must share enough with it
         partner = (1 - c) * F.ceil(threshold * F.col("size") - _EPS)
-        tells = partner + F.col("psize") - F.col("d") - c * F.col("size") > 2 * (least - 1) + _EPS
+        tells = partner + F.col("psize") - F.col("d") - c * F.col("size") > 2 * (least - 1) + _EPS  # half of it, rounded up
         nearest = near.where(tells).groupBy("pid").agg(F.min(F.struct((F.col("d") / (F.col("size") + F.col("psize") + F.col("d"))).alias("far"), "pivot", "d", "size")).alias("x"))
         home = stage(nearest.select(F.col("x.pivot").alias("cell"), "pid", "x.size", "x.d"), "home")
         homes = home if homes is None else homes.unionByName(home)

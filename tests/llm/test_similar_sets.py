@@ -45,7 +45,7 @@ def test_against_brute_force(spark, seed, threshold):
 
 def test_small_bounds_lose_nothing(spark, monkeypatch):
     """Rounds, cells in cells, parts of hot members and pieces of cells, all crossed by one dense group."""
-    for name, value in {"FIRST": 4, "GROWTH": 3, "HOT": 15, "CELL": 10, "FAN": 4, "DEPTH": 3, "HOME_BLOCK": 6, "GUEST_BLOCK": 9}.items():
+    for name, value in {"FIRST": 4, "GROWTH": 3, "HOT": 15, "CELL": 10, "FAN": 4, "DEPTH": 3, "HOME_BLOCK": 6, "GUEST_BLOCK": 9, "FEW": 10}.items():
         monkeypatch.setattr(ss, name, value)
     rnd = random.Random(9)
     rows = []
