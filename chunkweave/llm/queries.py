@@ -106,6 +106,16 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return source_mix.realise(counts, source_mix.plan_mix(counts, table(spark, d, "source_targets")))
 
 
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix holds of each planned source, beside the plan: tokens, share of the mix, most uses of a text."""
+    counts = stage(source_mix.with_tokens(table(spark, d, "documents")), "tokens")
+    plan = source_mix.plan_mix(counts, table(spark, d, "source_targets"))
+    used = source_mix.realise(counts, plan).groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("mixed"), F.max("uses").alias("most_uses"))
+    total = used.agg(F.sum("mixed").alias("all"))
+    both = plan.join(used, "source", "left").join(F.broadcast(total))  # one row
+    return both.select("source", "target_share", "quota_tokens", F.coalesce("mixed", F.lit(0)).alias("mixed"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), F.try_divide(F.coalesce("mixed", F.lit(0)), F.col("all")).alias("actual_share"))
+
+
 def _one_blank(c: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -192,6 +202,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p7_plan": p7_plan,
         "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_rates": p8_rates,
     }
