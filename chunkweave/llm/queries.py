@@ -53,18 +53,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants.name_pairs(p4_names(spark, d))
 
 
-def _oversized(spark: SparkSession, d: str) -> DataFrame:
+def _items(spark: SparkSession, d: str) -> DataFrame:
     bodies = current_nodes(table(spark, d, "nodes"), ["body"]).select(
         F.lit("body").alias("item_kind"), F.col("nid").cast("string").alias("item_key"), F.col("body").alias("text"),
-        F.lit(BODY_LIMIT).alias("max_chars"), F.lit(BODY_OVERLAP).alias("overlap"),
+        F.lit(BODY_LIMIT).alias("max_size"), F.lit(BODY_OVERLAP).alias("overlap"),
     )
     # the rows of a chunk_id are alike but for synced_at, so that only long texts need be told apart
     long = table(spark, d, "chunks").where(F.length("text") > CHUNK_LIMIT)
     texts = current_chunks(long, ["text"]).select(
         F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), "text",
-        F.lit(CHUNK_LIMIT).alias("max_chars"), F.lit(CHUNK_OVERLAP).alias("overlap"),
+        F.lit(CHUNK_LIMIT).alias("max_size"), F.lit(CHUNK_OVERLAP).alias("overlap"),
     )
-    return split_items.split_oversized(bodies.unionByName(texts))
+    return bodies.unionByName(texts)
+
+
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    return split_items.split_oversized(_items(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +82,18 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Where each piece starts and stops, and how it was cut."""
+    return p5_pieces(spark, d).drop("text")
+
+
+def p5_token_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The bodies again, in pieces of at most 1,500 tokens of the public tokenizer that overlap by 50."""
+    bodies = _items(spark, d).where("item_kind = 'body'").withColumn("max_size", F.lit(1_500)).withColumn("overlap", F.lit(50))
+    rows = split_items.split_oversized(bodies, tokens=True, vocabulary=source_mix.VOCABULARY)
+    return rows.select("item_key", F.posexplode("pieces").alias("piece", "p")).select("item_key", "piece", "p.start", "p.stop", "p.cut")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -197,6 +213,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_names": p4_names,
         "p5_found": p5_found,
         "p5_pieces": p5_pieces,
+        "p5_offsets": p5_offsets,
+        "p5_token_pieces": p5_token_pieces,
         "p6_found": p6_found,
         "p6_by_item": p6_by_item,
         "p7_found": p7_found,
@@ -245,6 +263,23 @@ _P5_LONG = """
            UNION ALL SELECT 'chunk', chunk_id, text, 1200 FROM c)
 """
 
+_P5_OFFSETS = r"""
+  WITH RECURSIVE n AS (SELECT nid, body, row_number() OVER (PARTITION BY nid ORDER BY changed_at DESC, body) AS r FROM nodes WHERE nid IS NOT NULL),
+  c AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE length(text) > 1200 GROUP BY chunk_id),
+  long AS (SELECT 'body' AS item_kind, CAST(nid AS VARCHAR) AS item_key, body AS text, 6000 AS most, 200 AS lap FROM n WHERE r = 1 AND length(body) > 6000
+           UNION ALL SELECT 'chunk', chunk_id, text, 1200, 80 FROM c),
+  p AS (SELECT *, length(text) AS size, list_filter(string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '([.!?][\x22\x27”’)\]]*[\s\x01]+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM long),
+  m AS (SELECT item_kind, item_key, most, lap, size, list_transform(parts, lambda x, i: CAST(list_sum(list_transform(parts[1:i], lambda y: length(y))) AS BIGINT)) AS marks FROM p),
+  w AS (SELECT *, 0 AS piece, CAST(0 AS BIGINT) AS start, coalesce(list_max(list_filter(marks, lambda x: x <= most)), most) AS stop, list_has_any(marks, range(1, most + 1)) AS nat, size <= most AS done FROM m
+    UNION ALL
+    SELECT item_kind, item_key, most, lap, size, marks, piece + 1, s2,
+      CASE WHEN size - s2 <= most THEN size ELSE coalesce(list_max(list_filter(marks, lambda x: x > stop AND x <= s2 + most)), s2 + most) END,
+      len(list_filter(marks, lambda x: x > stop AND x <= s2 + most)) > 0, size - s2 <= most
+    FROM (SELECT *, CASE WHEN back + most < nxt AND nxt <= stop + most THEN nxt - most ELSE back END AS s2
+      FROM (SELECT *, greatest(start + 1, stop - lap) AS back, coalesce(list_min(list_filter(marks, lambda x: x > stop)), size) AS nxt FROM w WHERE NOT done)))
+  SELECT item_kind, item_key, piece, start, stop, CASE WHEN done THEN 'end' WHEN nat THEN 'natural' ELSE 'forced' END AS cut FROM w
+"""
+
 _P6_RUNS = r"""
   WITH d AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
   i AS (SELECT DISTINCT item_id AS id, list_transform(regexp_extract_all(passage, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE passage IS NOT NULL),
@@ -267,5 +302,10 @@ def oracle_sql() -> dict[str, str]:
     CASE WHEN list_max(list_transform(string_split_regex(regexp_replace(text, '([.!?][\x22\x27”’)\]]*\s+)', '\1' || chr(10), 'g'), '\n'), lambda x: length(x))) > most
          THEN 'forced' ELSE 'natural' END AS cut_kind
   FROM long""",
+        "p5_offsets": _P5_OFFSETS,
+        "p6_by_item": _P6_RUNS
+        + """, c AS (SELECT dr.id AS doc_id, ir.id AS item_id, count(*) AS n FROM dr JOIN (SELECT DISTINCT id, run FROM ir) ir USING (run) GROUP BY ALL),
+  k AS (SELECT item_id, count(*) AS n_docs, max(n) AS most_runs FROM c GROUP BY 1)
+  SELECT item_id, suite, coalesce(n_docs, 0) AS n_docs, coalesce(most_runs, 0) AS most_runs FROM (SELECT DISTINCT item_id, suite FROM eval_items) LEFT JOIN k USING (item_id)""",
         "p6_found": _P6_RUNS + "SELECT doc_id, item_id FROM hit",
     }

@@ -44,6 +44,11 @@ def _encoding(path: str):
     return _encodings[path]
 
 
+def encoding(vocabulary: str):
+    """The tokenizer of a vocabulary file that was sent to the executors."""
+    return _encoding(SparkFiles.get(os.path.basename(vocabulary)))
+
+
 def clean_source(column: str | F.Column) -> F.Column:
     """One spelling per source: lower case, trimmed, blanks and hyphens as underscores."""
     c = F.col(column) if isinstance(column, str) else column
@@ -56,10 +61,9 @@ def with_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     The vocabulary file (any path that Spark reads) is sent to every executor.
     """
     documents.sparkSession.sparkContext.addFile(vocabulary)
-    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(SparkFiles.get(name)).encode_ordinary
+        encode = encoding(vocabulary).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "source": pdf["source"],
