@@ -9,6 +9,7 @@ Where the shift is zero the bucket of patterns with that suffix block is compare
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,6 +67,17 @@ class Tables:
         return found
 
 
+_built: dict[str, Tables] = {}
+
+
+def _tables(name: str, block: list[tuple[int, str]], run: int) -> Tables:
+    """The tables of a block, built once per worker; only those of the last block are kept."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Tables(block, run)
+    return _built[name]
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for r in items.orderBy("item_id").toLocalIterator():
@@ -96,8 +108,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFra
     for block in _blocks(known):
         sent = spark.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            tables = Tables(sent.value, run)
+        def scan(batches: Iterator[pd.DataFrame], sent=sent, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            tables = _tables(name, sent.value, run)
             for pdf in batches:
                 hits = [
                     (doc, item, n) for doc, text in zip(pdf["doc_id"], pdf["text"]) for item, n in tables.search(words(text)).items()

@@ -2,9 +2,10 @@
 
 Every text becomes one row of distributions of word length, vocabulary, syntax and cohesion, in Arrow
 batches. Trees are trained on the stated levels with cross-fitting: rows are dealt into folds by a
-hash, within each source, and a labelled text is scored only by trees that have not seen its label,
-so a wrong label cannot vouch for itself. Scores are calibrated to levels by the cuts at which, among
-held-out rows, a label above becomes likelier than one below.
+hash of source and key, and a labelled text is scored only by trees that have not seen its label, so a
+wrong label cannot vouch for itself. Scores are calibrated to levels by the cuts with the fewest labels
+on the wrong side among the held-out rows of the other folds, so that the figures by source are of rows
+that neither the trees nor the cuts have seen.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -28,9 +30,9 @@ FOLDS, TREES, DEPTH, STEP, LEAF = 3, 25, 3, 0.15, 8
 #: Bins of a score between the lowest and highest level, for the calibration.
 BINS = 240
 
-_TAG = re.compile(r"<[^>]{0,400}>|\[[^\]]{0,60}\]|\([^)]{0,30}\d[^)]{0,30}\)")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_SENTENCE = re.compile(r"[.!?]+|\n+")
+_TAG = re.compile(r"<[^<>]*>|\[[^\]]{0,60}\]|\([^)]{0,30}\d[^)]{0,30}\)")
+#: A word, or what ends a sentence.
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?]+|\n+")
 _VOWELS = re.compile(r"[aeiouyáéíóúäöüàèùâêîôû]+")
 # Small closed word classes of English, and endings of learned words.
 _SUBORDINATE = frozenset("because although though while whereas which who whom whose that if unless until since insofar whether thereby whereby despite notwithstanding amid".split())
@@ -41,43 +43,89 @@ _LEARNED = re.compile(r"(?:tion|tions|ment|ments|ity|ities|ism|ence|ance|ical|iv
 FEATURES = 34
 
 
-def measures(text: str) -> tuple[int, list[float]]:
+class Words(dict):
+    """word -> its number in ``table``, a row of word facts; 0 is the end of a sentence.
+
+    The facts: length, syllables, in each of the four classes, learned, adverb, article.
+    """
+
+    MOST = 200_000
+
+    def __init__(self) -> None:
+        self.facts: list[tuple] = [(0,) * 9]
+        self.table = np.zeros((1, 9))
+
+    def __missing__(self, word: str) -> int:
+        w = word.lower()
+        if not w[0].isalpha():
+            self[word] = 0
+        elif w != word:
+            self[word] = self[w]
+        else:
+            classes = (w in _SUBORDINATE, w in _COORDINATE, w in _PRONOUN, w in _TOGETHER)
+            self[w] = len(self.facts)
+            self.facts.append((len(w), len(_VOWELS.findall(w)), *classes, _LEARNED.search(w) is not None, w.endswith("ly"), w in ("the", "a", "an")))
+        return self[word]
+
+    def read(self, text: str) -> np.ndarray:
+        """The numbers of the text's words and sentence ends, in order."""
+        if len(self) > self.MOST:  # numbers only have to agree within one text
+            self.clear()
+            self.__init__()
+        ids = np.array([self[w] for w in _TOKEN.findall(text)], np.int64)
+        if len(self.table) < len(self.facts):
+            self.table = np.concatenate([self.table, np.array(self.facts[len(self.table) :], float)])
+        return ids
+
+
+def _quantiles(values: np.ndarray, at: tuple[float, ...]) -> list[float]:
+    values = np.sort(values)
+    place = np.array(at) * (len(values) - 1)
+    low = place.astype(int)
+    high = np.minimum(low + 1, len(values) - 1)
+    return list(values[low] + (values[high] - values[low]) * (place - low))
+
+
+def measures(text: str, known: Words | None = None) -> tuple[int, list[float]]:
     """(words, features) of a text: words as white space parts them, 0 where no part is a word.
 
     The features leave out markup, entities and bracketed references.
     """
+    known = Words() if known is None else known
     size_of = len(text.split())
     text = _TAG.sub(" ", html.unescape(text))
-    words = [w.lower() for w in _WORD.findall(text)]
+    ids = known.read(text)
+    ends = np.nonzero(ids == 0)[0]
+    words = ids[ids > 0]
     n = len(words)
     if not n:
         return 0, [0.0] * FEATURES
-    size = np.array([len(w) for w in words], float)
-    beats = np.array([len(_VOWELS.findall(w)) for w in words], float)
+    facts = known.table[words]
+    size, beats = facts[:, 0], facts[:, 1]
     out = [size.mean(), size.std(), *(np.mean(size >= k) for k in (5, 7, 9, 11, 13)), np.mean(size <= 3), beats.mean(), np.mean(beats >= 3), np.mean(beats >= 5)]
-    out += [*np.quantile(size, (0.5, 0.75, 0.9, 0.97))]
+    out += _quantiles(size, (0.5, 0.75, 0.9, 0.97))
     # the spread over stretches of 40 words: texts mix levels
-    k = max(1, n // 40)
-    hard = np.array([np.mean(x >= 9) for x in np.array_split(size, k)])
-    out += [*np.quantile(hard, (0.1, 0.5, 0.9)), hard.std()]
-    parts = [_WORD.findall(s) for s in _SENTENCE.split(text)]
-    parts = [p for p in parts if p]
-    lengths = np.array([len(p) for p in parts], float)
-    out += [lengths.mean(), *np.quantile(lengths, (0.25, 0.5, 0.9)), lengths.std(), 100 * text.count(",") / n]
-    for group in (_SUBORDINATE, _COORDINATE, _PRONOUN, _TOGETHER):
-        out.append(sum(w in group for w in words) / n)
-    out.append(sum(_LEARNED.search(w) is not None for w in words) / n)
-    out.append(sum(w.endswith("ly") for w in words) / n)
-    out.append(float(np.mean([len(set(x)) / len(x) for x in (words[i : i + 60] for i in range(0, n, 60))])))
-    sets = [{w.lower() for w in p if len(w) > 3} for p in parts]
+    starts = np.linspace(0, n, max(1, n // 40) + 1).astype(int)[:-1]
+    hard = np.add.reduceat((size >= 9).astype(float), starts) / np.diff(np.append(starts, n))
+    out += [*_quantiles(hard, (0.1, 0.5, 0.9)), hard.std()]
+    at = [0, *(ends - np.arange(len(ends))), n]  # word positions at which sentences end
+    spans = [(a, b) for a, b in zip(at, at[1:]) if b > a]
+    lengths = np.array([b - a for a, b in spans], float)
+    out += [lengths.mean(), *_quantiles(lengths, (0.25, 0.5, 0.9)), lengths.std(), 100 * text.count(",") / n]
+    out += list(facts[:, 2:8].mean(axis=0))
+    plain = words.tolist()
+    out.append(float(np.mean([len(set(x)) / len(x) for x in (plain[i : i + 60] for i in range(0, n, 60))])))
+    long = (size > 3).tolist()
+    sets = [{w for w, keep in zip(plain[a:b], long[a:b]) if keep} for a, b in spans]
     shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:]) if a and b]
-    out += [float(np.mean(shared)) if shared else 0.0, sum(w in ("the", "a", "an") for w in words) / n]
+    out += [float(np.mean(shared)) if shared else 0.0, facts[:, 8].mean()]
     return size_of, [float(x) for x in out]
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Words()
     for pdf in batches:
-        rows = [measures(t) for t in pdf["text"]]
+        rows = [measures(t, known) for t in pdf["text"]]
         yield pd.DataFrame({
             "key": pdf["key"], "source": pdf["source"], "label": pdf["label"], "n_words": [r[0] for r in rows], "features": [r[1] for r in rows],
         })
@@ -110,11 +158,11 @@ def score_levels(texts: DataFrame, levels: int, fit_rows: int = FIT_ROWS, least_
     ``label`` is a level 0..levels-1 or null; ``source`` groups the folds and may be null. Texts that
     are null or have no word get score and level null; texts under ``least_words`` are scored but do
     not train. Where fewer than 20 rows have labels nothing can be trained: score and level are null.
-    Repeated keys are rows of their own, in the same fold. An empty table gives no rows.
+    Repeated keys are rows of their own, in the same fold if their source is the same. An empty table gives no rows.
     """
     rows = texts.select("key", "source", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, source string, label int, n_words int, features array<double>"
-    table = stage(rows.mapInPandas(_features, schema).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(9)), F.lit(FOLDS)).cast("int")), "features")
+    table = stage(rows.mapInPandas(_features, schema).withColumn("fold", F.pmod(F.xxhash64("source", "key", F.lit(9)), F.lit(FOLDS)).cast("int")), "features")
     usable = table.where(F.col("label").isNotNull() & (F.col("n_words") >= least_words))
     n = usable.count()
     if n < 20:
@@ -123,20 +171,29 @@ def score_levels(texts: DataFrame, levels: int, fit_rows: int = FIT_ROWS, least_
     drawn = usable.where(F.pmod(F.xxhash64("key", F.lit(21)), F.lit(1_000_000)) < share * 1_000_000)
     points = stage(drawn.select("fold", F.col("label").cast("double").alias("label"), "features"), "fit").select("fold", "label", array_to_vector("features").alias("x"))
     scored = table.where("n_words > 0").withColumn("x", array_to_vector("features"))
-    for fold in range(FOLDS):
+
+    def fit(fold: int):
         trees = GBTRegressor(featuresCol="x", labelCol="label", predictionCol=f"s{fold}", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, maxBins=48, minInstancesPerNode=LEAF, subsamplingRate=0.7, seed=17, lossType="absolute")
-        scored = trees.fit(points.where(F.col("fold") != fold).coalesce(6)).transform(scored)
+        return trees.fit(points.where(F.col("fold") != fold).coalesce(6))
+
+    with ThreadPoolExecutor(FOLDS) as pool:  # the folds' jobs are small and run side by side
+        models = list(pool.map(fit, range(FOLDS)))
+    for model in models:
+        scored = model.transform(scored)
     blind = F.coalesce(*[F.when(F.col("fold") == i, F.col(f"s{i}")) for i in range(FOLDS)])
     mean = sum(F.col(f"s{i}") for i in range(FOLDS)) / FOLDS
     scored = scored.withColumn("score", F.when(F.col("label").isNotNull(), blind).otherwise(mean))
-    scored = stage(scored.select("key", "source", "label", "n_words", "score"), "scores")
+    scored = stage(scored.select("key", "source", "label", "n_words", "score", "fold"), "scores")
     step = (levels - 1) / BINS
     held = scored.where(F.col("label").isNotNull() & (F.col("n_words") >= least_words))
     spot = F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(F.col("score") / step + 0.5)))
-    counts = held.groupBy(spot.alias("spot"), "label").agg(F.count("*").alias("n")).collect()  # at most (BINS + 1) * levels rows
-    cuts = calibrate([(r.spot * step, r.label, r.n) for r in counts], levels)
-    level = sum((F.col("score") > c + step / 2).cast("int") for c in cuts)
-    done = scored.withColumn("level", level)
+    counts = held.groupBy("fold", spot.alias("spot"), "label").agg(F.count("*").alias("n")).collect()  # at most FOLDS * (BINS + 1) * levels rows
+    level = None
+    for fold in (None, *range(FOLDS)):  # cuts from the other folds; for rows without a label from all
+        cuts = calibrate([(r.spot * step, r.label, r.n) for r in counts if r.fold != fold], levels)
+        here = sum((F.col("score") > c + step / 2).cast("int") for c in cuts)
+        level = here if fold is None else F.when(F.col("label").isNotNull() & (F.col("fold") == fold), here).otherwise(level)
+    done = scored.withColumn("level", level).drop("fold")
     none = table.where("n_words = 0").select("key", "source", "label", "n_words", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level"))
     return done.unionByName(none)
 
