@@ -1,21 +1,24 @@
 """Texts cut off by field limits or broken transfers.
 
-Two kinds of evidence are counted over all documents. *Length hazards*: for each source and length
-(in characters, in bytes, and in bins of characters), the documents that end there as a share of
-those that get that far, tested against the hazards of neighbouring lengths with false-discovery
-control. *Endings*: how often a sentence ends after the last words of a text. A text is taken for
-cut if its ending is incomplete; at a significant length little evidence is asked for, elsewhere
-much. Marks put after a cut are taken off before the ending is judged, and prove nothing alone if
-authors use them too.
+Discrete *length hazards* are counted over all documents: for each source and length (in characters, in
+bytes, and in bins of characters), the documents that end there as a share of those that get that far,
+tested against the hazards of neighbouring lengths with false-discovery control. That finds field
+limits. A broken transfer may stop at any length, so it has hazards of its own: those of open endings,
+over stretches of lengths from a few bins up to all of a source's, tested against what whole texts have.
+How *open* an ending is, is learned from all texts: how often a sentence ends after its last words.
+
+A text is taken for cut if its ending is incomplete and its length is significant in one of these tests;
+at a field limit little is asked of the ending, else more. Marks put after a cut are taken off before
+the ending is judged, and prove nothing alone if authors use them too.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,20 +28,25 @@ from chunkweave.session import stage
 #: Trailing marks: those that only say "there was more", and those that authors use as well.
 PLAIN_MARK = r"\[\s*(?:…|\.\.\.|continued|cont\.?|truncated|more)\s*\]|\(\s*(?:…|\.\.\.|more|continued|cont\.?)\s*\)|»|>>|(?<!\w)[Rr]ead more"
 SOFT_MARK = r"…|\.{3,}|\(sic\)|\[sic\]"
-_PLAIN = re.compile(rf"(?:{PLAIN_MARK})$")
-_MARK = re.compile(rf"(?:{PLAIN_MARK}|{SOFT_MARK})$")
+#: Searched from the end, so that only the mark itself is read.
+_PLAIN = re.compile(rf"(?r)(?:{PLAIN_MARK})$")
+_MARK = re.compile(rf"(?r)(?:{PLAIN_MARK}|{SOFT_MARK})$")
 #: word, what stands directly after it, and the white space that follows
 _TOKEN = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)([^\w\s]*)(\s*)")
 _STOP = re.compile(r"[.!?…]")
 _WHOLE = re.compile(r"^\s?[\"'”’)\]»]*\s?[.!?][\"'”’)\]»\s]*$")
 _LEAD = re.compile(r"\w+|[^\w\s]")
-#: A sign-off line is at most this long.
+#: What counts as a line (a signature, a credit), not a paragraph, is at most this long.
 LINE = 90
 #: Bin widths of the length tests and, in bins, how far neighbours reach and which are left out.
 BIN, NEAR, APART = 16, 40, 5
 #: A significant length holds at least this many times the documents that its neighbours lead to expect.
 LEAST_RATIO = 4
-CONTEXT, LINE_LEAD, WORD = "c", "l", "w"
+#: Stretches of lengths over which open endings are tested: this many bins of ``BIN``; 0 is all lengths of a source.
+STRETCHES = (16, 128, 0)
+CONTEXT, LINE_LEAD, WORD, ENDING = "c", "l", "w", "e"
+#: Endings that ask for the same fact, per part of them.
+HOT = 20_000
 
 
 class _Shapes(dict):
@@ -54,7 +62,7 @@ def _unmarked(text: str) -> str:
     """The text without trailing marks and white space; one mark is taken off at a time."""
     while True:
         text = text.rstrip()
-        m = _MARK.search(text, max(0, len(text) - 40))
+        m = _MARK.search(text)
         if m is None:
             return text
         text = text[: m.start()]
@@ -95,39 +103,6 @@ def _lead(line: str) -> str:
     return " ".join(_LEAD.findall(line[:LINE])[:2])
 
 
-def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of contexts (and of sentences that end after them), words and line leads, per batch."""
-    shapes = _Shapes()
-    for pdf in batches:
-        contexts, stops, words, finals, leads, last, late = (Counter() for _ in range(7))
-        for text in pdf["text"]:
-            body = _unmarked(text)
-            found = _TOKEN.findall(body)
-            if not found:
-                continue
-            whole = _WHOLE.match(_tail(body)) is not None
-            words.update([x[0] for x in (found if whole else found[:-1])])
-            if not whole:
-                finals[found[-1][0]] += 1
-            steps = _walk(found, shapes)
-            steps = steps if whole else steps[:-1]
-            contexts.update([x[0] for x in steps])
-            stops.update([x[0] for x in steps if x[1]])
-            rows = _lines(body)
-            for j, line in enumerate(rows):
-                if len(line) <= LINE:
-                    lead = _lead(line)
-                    leads[lead] += 1
-                    last[lead] += not whole and j == len(rows) - 1 and j > 0
-                    late[lead] += not whole and j >= len(rows) - 2 and j > 0
-        yield pd.DataFrame(
-            [(CONTEXT, " ".join(k), v, stops[k], 0) for k, v in contexts.items()]
-            + [(WORD, k, words[k], finals[k], 0) for k in words.keys() | finals.keys()]
-            + [(LINE_LEAD, k, v, last[k], late[k]) for k, v in leads.items()],
-            columns=["kind", "key", "n", "hits", "late"],
-        )
-
-
 def _tail(body: str) -> str:
     i = len(body)
     while i and not body[i - 1].isalnum():
@@ -135,34 +110,50 @@ def _tail(body: str) -> str:
     return body[i:]
 
 
-def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The ending of each text: whether it is whole, its marks, context, last word and line leads."""
+_READ_SCHEMA = (
+    "kind string, key string, n long, hits long, late long, rid long, doc_id long, source string, chars long, bytes long, whole boolean, "
+    "marked boolean, loose boolean, context string, word string, lead string, lead2 string, tail string"
+)
+_READ_COLUMNS = [x.strip().split()[0] for x in _READ_SCHEMA.split(",")]
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per text (kind ENDING), and the counts of a batch: contexts (and sentences that end
+    after them), words (and how often one ends an open text), line leads (and how often in last place)."""
     shapes = _Shapes()
     for pdf in batches:
+        contexts, stops, words, finals, leads, last, late = (Counter() for _ in range(7))
         rows = []
-        for doc, source, text in pdf.itertuples(index=False, name=None):
-            trimmed = text.rstrip()
-            plain = _PLAIN.search(trimmed, max(0, len(trimmed) - 40)) is not None
-            body = _unmarked(text)
-            tail = _tail(body)
-            found = _TOKEN.findall(body[-2000:])
-            whole = not found or _WHOLE.match(tail) is not None
-            steps = _walk(found[-60:], shapes)
-            key = " ".join(steps[-1][0]) if steps else ""
-            lines = _lines(body)[-2:]
-            lead = [_lead(x) if len(x) <= LINE else "" for x in lines]
+        for rid, doc, source, text in pdf.itertuples(index=False, name=None):
+            trimmed, body = text.rstrip(), _unmarked(text)
+            tail, found, lines = _tail(body), _TOKEN.findall(body), _lines(body)
+            ended = _WHOLE.match(tail) is not None
+            steps = _walk(found, shapes)
+            ending = [x if len(x) <= LINE else "" for x in lines[-2:]] if len(lines) > 1 else ["", ""]
             rows.append((
-                doc, source, len(text), len(text.encode("utf-8", "surrogatepass")), whole, plain, body == trimmed != text,
-                key, found[-1][0] if found else "", lead[-1] if len(lead) > 1 else "", lead[0] if len(lead) > 1 else "", tail,
+                ENDING, None, 0, 0, 0, rid, doc, source, len(text), len(text.encode("utf-8", "surrogatepass")), ended or not found,
+                _PLAIN.search(trimmed) is not None, body == trimmed != text, " ".join(steps[-1][0]) if steps else "", found[-1][0] if found else "",
+                _lead(ending[1]), _lead(ending[0]), tail,
             ))
-        yield pd.DataFrame(rows, columns=_END_COLUMNS)
-
-
-_END_SCHEMA = (
-    "doc_id long, source string, chars long, bytes long, whole boolean, marked boolean, loose boolean, context string, word string, "
-    "lead string, lead2 string, tail string"
-)
-_END_COLUMNS = [x.strip().split()[0] for x in _END_SCHEMA.split(",")]
+            if not found:
+                continue
+            words.update([x[0] for x in (found if ended else found[:-1])])
+            if not ended:
+                finals[found[-1][0]] += 1
+            steps = steps if ended else steps[:-1]
+            contexts.update([x[0] for x in steps])
+            stops.update([x[0] for x in steps if x[1]])
+            for j, line in enumerate(lines):
+                if len(line) <= LINE:
+                    lead = _lead(line)
+                    leads[lead] += 1
+                    last[lead] += not ended and j == len(lines) - 1 and j > 0
+                    late[lead] += not ended and j >= len(lines) - 2 and j > 0
+        none = (None,) * 13
+        counts = [(CONTEXT, " ".join(k), v, stops[k], 0, *none) for k, v in contexts.items()]
+        counts += [(WORD, k, words[k], finals[k], 0, *none) for k in words.keys() | finals.keys()]
+        counts += [(LINE_LEAD, k, v, last[k], late[k], *none) for k, v in leads.items()]
+        yield pd.DataFrame(rows + counts, columns=_READ_COLUMNS).astype({c: "Int64" for c in ("rid", "doc_id", "chars", "bytes")})
 
 
 def length_tests(lengths: DataFrame, alpha: float = 0.01) -> DataFrame:
@@ -209,45 +200,80 @@ def length_tests(lengths: DataFrame, alpha: float = 0.01) -> DataFrame:
     return ranked.withColumn("upto", passed).where((F.col("rank") <= F.col("upto")) & (F.col("n") >= LEAST_RATIO * F.col("expected"))).select("source", "unit", "bin", "n", "risk", "expected", "p")
 
 
+def open_tests(ends: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """Stretches of lengths in which the texts of ``ends(source, chars, is_open, usual)`` end open too often.
+
+    Returns ``source, width, bin``: ``width`` in bins (0: all lengths). The rows are texts without a mark
+    of a sentence's end. In a stretch of lengths, the hazard of an open ending among them is tested
+    against ``usual``, the share of all sentence ends that would look as open if their mark were left
+    out, by the Chernoff bound of the Poisson tail; Benjamini-Hochberg holds the false discoveries of
+    each source at ``alpha``. Grouped counts go through the windows.
+    """
+    stretches = F.array(*[F.struct(F.lit(w).alias("width"), (F.floor(F.col("chars") / (BIN * w)) if w else F.lit(0).cast("long")).alias("bin")) for w in STRETCHES])
+    counts = ends.select("source", "is_open", "usual", F.explode(stretches).alias("v")).groupBy("source", "v.width", "v.bin").agg(F.count("*").alias("risk"), F.sum(F.col("is_open").cast("int")).alias("n"), F.max("usual").alias("usual"))
+    d, e = F.col("n").cast("double"), F.col("risk") * F.col("usual") + 0.05
+    tested = counts.select("source", "width", "bin", F.when(d > e, F.exp(-(d * F.log(d / e) - d + e))).otherwise(F.lit(1.0)).alias("p"))
+    group = Window.partitionBy("source")
+    ranked = tested.withColumn("m", F.count("*").over(group)).where(F.col("p") <= alpha).withColumn("rank", F.row_number().over(group.orderBy("p", "width", "bin")))
+    passed = F.max(F.when(F.col("p") <= F.col("rank") / F.col("m") * alpha, F.col("rank"))).over(group)
+    return ranked.withColumn("upto", passed).where(F.col("rank") <= F.col("upto")).select("source", "width", "bin")
+
+
+def _facts_of(ends: DataFrame, facts: DataFrame) -> DataFrame:
+    """The open endings (by ``rid``) with the counts of their contexts, words and leads.
+
+    Endings ask by (kind, key). Each question is answered once; an answer that many endings wait for is
+    repeated in parts. Missing leads ask nothing.
+    """
+    two, one = F.substring_index("key", " ", -2), F.substring_index("key", " ", -1)
+    ctx = facts.where(F.col("kind") == CONTEXT)
+    grouped = lambda kind, key: ctx.groupBy(key.alias("key")).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.lit(0).cast("long").alias("late")).select(F.lit(kind).alias("kind"), "key", "n", "hits", "late")
+    known = facts.where(F.col("kind") != CONTEXT).unionByName(ctx.withColumn("kind", F.lit("c3"))).unionByName(grouped("c2", two)).unionByName(grouped("c1", one))
+    asks = {
+        "c3": F.col("context"), "c2": F.substring_index("context", " ", -2), "c1": F.substring_index("context", " ", -1), WORD: F.col("word"),
+        LINE_LEAD: F.col("lead"), "l2": F.col("lead2"),
+    }
+    asked = ends.select("rid", F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), c.alias("key")) for k, c in asks.items()])).alias("x")).select("rid", "x.*")
+    asked = asked.where("not (key = '' and slot in ('l', 'l2'))").withColumn("kind", F.when(F.col("slot") == "l2", F.lit(LINE_LEAD)).otherwise(F.col("slot")))
+    parts = asked.groupBy("kind", "key").agg((1 + F.floor(F.count("*") / HOT)).cast("int").alias("parts"))
+    answers = stage(parts.join(known, ["kind", "key"]), "answers")
+    spread = answers.select("kind", "key", "n", "hits", "late", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    most = answers.where("parts > 1").select("kind", "key", "parts")  # a row per HOT endings at most
+    told = asked.join(F.broadcast(most), ["kind", "key"], "left").withColumn("part", F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1))).cast("int"))
+    told = told.join(spread, ["kind", "key", "part"])
+    pick = lambda slot, c, name: F.max(F.when(F.col("slot") == slot, F.col(c))).alias(name)
+    return told.groupBy("rid").agg(
+        *[pick(f"c{i}", c, f"{n}{i}") for i in (3, 2, 1) for c, n in (("n", "n"), ("hits", "h"))], pick(WORD, "n", "nw"), pick(WORD, "hits", "fw"),
+        pick(LINE_LEAD, "n", "nl"), pick(LINE_LEAD, "hits", "hl"), pick("l2", "n", "nm"), pick("l2", "late", "hm"), pick("l2", "hits", "hx"),
+    )
+
+
 def judge(documents: DataFrame, alpha: float = 0.01, far: float = 0.1, near: float = 0.5) -> DataFrame:
-    """``doc_id, source, chars, at_limit, reason, is_cut`` for every document with a text.
+    """``doc_id, source, chars, at_limit, in_stretch, reason, is_cut`` for every document with a text.
 
     ``documents(doc_id, source, text)``. Null and blank texts are not cut; a null source is a source
     of its own; rows that repeat a doc_id are each judged. A text that ends a sentence is whole. Else
-    it is cut if it ends in a word that no text holds elsewhere, in a word after which sentences end
-    in less than ``far`` of the cases (``near`` at a significant length, after a trailing blank, or
-    before a plain mark), or in a comma or hyphen; a known closing line (signature, credit) is whole.
+    its ending is incomplete if its last word is held by no text elsewhere, if sentences end after its last
+    words in less than ``far`` of the cases (``near`` at a significant length, after a trailing blank, or
+    before a plain mark), or if it ends in a comma or hyphen; a known closing line (signature, credit)
+    is whole. It is cut if moreover its length is significant, as a limit or in a stretch of open endings.
     """
-    rows = documents.where(F.col("text").rlike(r"\S")).select("doc_id", "source", "text")
-    counted = rows.select("text").mapInPandas(_evidence, "kind string, key string, n long, hits long, late long")
-    facts = stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("late").alias("late")), "facts")
-    ends = stage(rows.mapInPandas(_endings, _END_SCHEMA), "endings")
+    rows = documents.where(F.col("text").rlike(r"\S")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "text")
+    read = stage(rows.mapInPandas(_read, _READ_SCHEMA), "read")
+    facts = read.where(F.col("kind") != ENDING).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("late").alias("late"))
+    facts = stage(facts, "facts")
+    ends = read.where(F.col("kind") == ENDING).drop("kind", "key", "n", "hits", "late").withColumn("_s", F.coalesce("source", F.lit("\u0000")))
 
     tests = length_tests(ends.select("source", "chars", "bytes"), alpha)
     limits = tests.groupBy("source").agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("bin"))).alias(u + "_at") for u in ("chars", "bytes", "bins")])
     # one row per source; its arrays hold significant lengths only
-    ends = ends.withColumn("_s", F.coalesce("source", F.lit("\u0000")))
     limits = limits.select(F.coalesce("source", F.lit("\u0000")).alias("_s"), "chars_at", "bytes_at", "bins_at")
     at = lambda c, v: F.coalesce(F.array_contains(c, v), F.lit(False))
-    ends = ends.join(limits, "_s", "left").withColumn(
+    ends = ends.join(F.broadcast(limits), "_s", "left").withColumn(  # sources are few, their significant lengths at most one in LEAST_RATIO
         "at_limit", at("chars_at", F.col("chars")) | at("bytes_at", F.col("bytes")) | at("bins_at", F.floor(F.col("chars") / BIN))
     )
     open_ends = ends.where(~F.col("whole"))
-
-    ctx = facts.where(F.col("kind") == CONTEXT)
-    two = F.substring_index("key", " ", -2)
-    one = F.substring_index("key", " ", -1)
-    tables = [
-        ctx.select(F.col("key").alias("context"), F.col("n").alias("n3"), F.col("hits").alias("h3")),
-        ctx.groupBy(two.alias("context2")).agg(F.sum("n").alias("n2"), F.sum("hits").alias("h2")),
-        ctx.groupBy(one.alias("context1")).agg(F.sum("n").alias("n1"), F.sum("hits").alias("h1")),
-        facts.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("nw"), F.col("hits").alias("fw")),
-        facts.where(F.col("kind") == LINE_LEAD).select(F.col("key").alias("lead"), F.col("n").alias("nl"), F.col("hits").alias("hl")),
-        facts.where(F.col("kind") == LINE_LEAD).select(F.col("key").alias("lead2"), F.col("n").alias("nm"), F.col("late").alias("hm"), F.col("hits").alias("hx")),
-    ]
-    x = open_ends.withColumn("context2", F.substring_index("context", " ", -2)).withColumn("context1", F.substring_index("context", " ", -1))
-    for t in tables:
-        x = x.join(t, t.columns[0], "left")
+    x = open_ends.join(_facts_of(open_ends, facts), "rid", "left")
     n = {k: F.coalesce(k, F.lit(0)) for k in ("n3", "h3", "n2", "h2", "n1", "h1", "nw", "fw", "nl", "hl", "nm", "hm", "hx")}
     rate = (
         F.when(n["n3"] >= 20, n["h3"] / n["n3"])
@@ -255,7 +281,7 @@ def judge(documents: DataFrame, alpha: float = 0.01, far: float = 0.1, near: flo
         .when(n["n1"] >= 20, F.greatest(n["h1"] / n["n1"], F.try_divide(n["h2"], n["n2"]), F.try_divide(n["h3"], n["n3"])))
     )
     signed = ((n["nl"] >= 5) & (n["hl"] / n["nl"] >= 0.5)) | ((n["nm"] >= 5) & (n["hm"] / n["nm"] >= 0.8) & (n["hx"] / n["nm"] < 0.3))
-    x = x.select("doc_id", "source", "chars", "at_limit", "marked", "loose", "word", "tail", rate.alias("rate"), signed.alias("signed"), (n["nw"] == 0).alias("unseen"), (n["fw"] >= 5).alias("closing"))
+    x = x.select("rid", "doc_id", "source", "_s", "chars", "at_limit", "marked", "loose", "word", "tail", rate.alias("rate"), signed.alias("signed"), (n["nw"] == 0).alias("unseen"), (n["fw"] >= 5).alias("closing"))
     small = F.col("word").rlike(r"^\p{Ll}")
     lenient = F.col("at_limit") | F.col("loose") | F.col("marked")
     reason = (
@@ -265,8 +291,19 @@ def judge(documents: DataFrame, alpha: float = 0.01, far: float = 0.1, near: flo
         .when(F.coalesce(F.col("rate"), F.lit(0.0)) < F.when(lenient, F.lit(near)).otherwise(F.when(F.col("unseen"), F.lit(1.5 * far)).otherwise(F.lit(far))), F.lit("in a sentence"))
         .otherwise(F.lit(None))
     )
-    judged = x.select("doc_id", "source", "chars", "at_limit", reason.alias("reason"))
-    whole = ends.where("whole").select("doc_id", "source", "chars", "at_limit", F.lit(None).cast("string").alias("reason"))
+    judged = stage(x.select("rid", "doc_id", "source", "_s", "chars", "at_limit", reason.alias("reason")), "judged")
+    # how often a sentence of a whole text ends after words as telling as these
+    share = facts.where(F.col("kind") == CONTEXT).agg(F.try_divide(F.sum(F.when(F.col("hits") < far * F.col("n"), F.col("hits")).otherwise(0)), F.sum("hits")).alias("usual"))
+    every = judged.select("source", "chars", F.col("reason").isNotNull().alias("is_open")).join(F.broadcast(share.select(F.coalesce("usual", F.lit(0.0)).alias("usual"))))  # one row
+    found = open_tests(every, alpha).groupBy(F.coalesce("source", F.lit("\u0000")).alias("_s")).agg(F.collect_set(F.struct("width", "bin")).alias("stretches"))
+    inside = F.lit(False)
+    for w in STRETCHES:
+        b = F.floor(F.col("chars") / (BIN * w)) if w else F.lit(0).cast("long")
+        inside = inside | at("stretches", F.struct(F.lit(w).alias("width"), b.alias("bin")))
+    judged = judged.join(F.broadcast(found), "_s", "left").withColumn("in_stretch", inside)  # a row per source
+    cut = F.when(F.col("at_limit") | F.col("in_stretch"), F.col("reason"))
+    judged = judged.select("doc_id", "source", "chars", "at_limit", "in_stretch", cut.alias("reason"))
+    whole = ends.where("whole").select("doc_id", "source", "chars", "at_limit", F.lit(False).alias("in_stretch"), F.lit(None).cast("string").alias("reason"))
     return judged.unionByName(whole).withColumn("is_cut", F.col("reason").isNotNull())
 
 
