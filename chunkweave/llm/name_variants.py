@@ -5,7 +5,8 @@ abbreviations), so that only spelling is left to compare. The plain forms are po
 space of strings under the Damerau-Levenshtein distance (insertions, deletions, substitutions and
 transpositions; the unrestricted form, which is a metric). Pivots are drawn by a hash, every form
 goes to the cell of its nearest pivot, and is replicated to each cell whose pivot is at most
-``2 r`` farther: by the triangle inequality no form within ``r`` can be missed. Inside a cell forms
+``2 r`` farther: by the triangle inequality no form within ``r`` can be missed. A cell with many forms
+is partitioned again by pivots drawn inside it, level by level. Inside a cell forms
 are joined by their distances to the pivot and their lengths (both may differ by at most r), and the
 distance of what is left is computed exactly. Forms are joined at two edits; letters that are misread
 in groups (rn for m, kw for qu) are undone and count as one error, and a second error needs evidence.
@@ -17,19 +18,23 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chunkweave.session import stage
 
-#: Forms per pivot, and the greatest number of pivots: what is broadcast is bounded by it.
-FORMS_PER_PIVOT, MOST_PIVOTS = 300, 1024
-RADIUS = 1
+#: Forms per pivot, and the pivots of one level. A cell with more forms at home than ``CELL`` is partitioned again.
+FORMS_PER_PIVOT, FAN, CELL = 300, 64, 1_200
+#: Levels at most. Larger cells than ``CELL`` only arise below them where forms crowd at one distance;
+#: they are joined all the same, by distance and length.
+LEVELS = 8
+#: Forms of a cell that a task takes.
+PART = 4_000
 #: Errors in one name that are looked for.
 ERRORS = 2
 
@@ -181,31 +186,72 @@ def edits(a: str, b: str, errors: int) -> list[tuple[str, str, bool]]:
     return [(p, q, ungrouped(p) == ungrouped(q) or distance(p, q) <= 1) for p, q in zip(x, y) if p != q]
 
 
-def near_forms(forms: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _nearest(names: list[str], pivots: list[str], homes: list[bool], radius: int) -> pd.DataFrame:
+    """(form, at, d, size, home): the pivots that may matter to each name, by position, nearest first if at home."""
+    names, homes = zip(*sorted(zip(names, homes), key=lambda x: len(x[0])))  # a block of like lengths needs the least padding
+    step = max(8, 4_000_000 // (len(pivots) * 1000))
+    out = []
+    for i in range(0, len(names), step):
+        block = names[i : i + step]
+        d = distances(list(block), pivots)
+        near = d.argmin(axis=1)
+        rows, at = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * radius)
+        own = np.array(homes[i : i + step])
+        out.append(pd.DataFrame({
+            "form": [block[r] for r in rows], "at": at.astype(np.int32), "d": d[rows, at].astype(np.int32),
+            "size": np.array([len(block[r]) for r in rows], np.int32), "home": own[rows] & (near[rows] == at),
+        }))
+    return pd.concat(out)
+
+
+def _placing(level: int, radius: int):
+    """(cell and part, its forms, the cell's pivots) -> the forms in the cells of those pivots."""
+
+    def place(key: tuple, names: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        columns = ["cell", "form", "d", "size", "home"]
+        if not len(names) or not len(near):  # nothing drawn: the cell stays as it is
+            return names[columns]
+        pivots = sorted(near["pivot"])
+        ids = np.array([xxhash.xxh64_intdigest(f"{level} {key[0]} {p}") >> 1 for p in pivots], np.int64)
+        found = _nearest(list(names["form"]), pivots, list(names["home"]), radius)
+        return found.assign(cell=ids[found["at"]])[columns]
+
+    return place
+
+
+def cells(forms: DataFrame, radius: int) -> DataFrame:
+    """``cell, form, d, size, home``: each form at home in one cell, and a replica in each that it may be needed in.
+
+    One level draws at most about ``FAN`` pivots in each cell that is too large, so pivots grow with the
+    forms and no form is compared with more than ``FAN`` of them a level. Forms of a cell are placed
+    in parts, each beside the cell's pivots.
+    """
+    schema = "cell long, form string, d int, size int, home boolean"
+    todo = stage(forms.select(F.lit(0).cast("long").alias("cell"), "form", F.lit(0).alias("d"), F.length("form").alias("size"), F.lit(True).alias("home")), "forms")
+    done = None
+    for level in range(LEVELS):
+        counts = todo.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("n"), F.count("*").alias("every")).where(F.col("n") > (CELL if level else 0))
+        large = stage(counts, "large")
+        if large.isEmpty():
+            break
+        rest = todo.join(large.select("cell"), "cell", "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        wide = large.select("cell", "n", F.least(F.lit(FAN), F.greatest(F.lit(1), F.ceil(F.col("n") / FORMS_PER_PIVOT))).alias("want"), F.ceil(F.col("every") / PART).cast("int").alias("parts"))
+        inner = todo.join(wide, "cell")
+        order = Window.partitionBy("cell").orderBy(F.xxhash64("form", F.lit(5 + level)), "form")
+        drawn = inner.where("home").where(F.pmod(F.xxhash64("form", F.lit(5 + level)), F.lit(1 << 40)) <= F.greatest(F.lit(64.0), 4.0 * F.col("want")) / F.col("n") * (1 << 40))
+        few = drawn.withColumn("i", F.row_number().over(order)).where("i <= want")  # some 4 * FAN forms a cell are put in order
+        pivots = stage(few.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("form").alias("pivot")), "pivots")
+        placed = inner.select("cell", F.pmod(F.xxhash64("form", F.lit(3)), F.col("parts")).cast("int").alias("part"), "form", "d", "size", "home")
+
+        todo = placed.groupBy("cell", "part").cogroup(pivots.groupBy("cell", "part")).applyInPandas(_placing(level, radius), schema)
+        todo = stage(todo, "cells")
+    return todo if done is None else done.unionByName(todo)
+
+
+def near_forms(forms: DataFrame, radius: int = 1) -> DataFrame:
     """Pairs ``a < b`` of distinct strings of ``forms(form)`` at distance ``d`` <= radius."""
-    spark = forms.sparkSession
-    n = forms.count()
-    want = int(min(MOST_PIVOTS, max(1, n // FORMS_PER_PIVOT)))
-    pivots = [r.form for r in forms.orderBy(F.xxhash64("form", F.lit(5)), "form").limit(want).collect()]
-    if not pivots:
-        return spark.createDataFrame([], "a string, b string, d int")
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            names = sorted(pdf["form"], key=len)  # a block of like lengths needs the least padding
-            step = max(8, 4_000_000 // (len(pivots) * 1000))
-            for i in range(0, len(names), step):
-                block = names[i : i + step]
-                d = distances(block, pivots)
-                home = d.argmin(axis=1)
-                rows, cells = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * radius)
-                yield pd.DataFrame({
-                    "form": [block[r] for r in rows], "cell": cells.astype(np.int32), "d": d[rows, cells].astype(np.int32),
-                    "size": np.array([len(block[r]) for r in rows], np.int32), "home": home[rows] == cells,
-                })
-
-    spread = forms.repartition(max(1, n // 4000) if n < 200_000 else 50 + n // 20_000, "form")
-    placed = stage(spread.mapInPandas(place, "form string, cell int, d int, size int, home boolean"), "cells")
+    placed = stage(cells(forms.where("form is not null").select("form").distinct(), radius), "placed")
     host = placed.where("home").select("cell", "d", "size", F.col("form").alias("x"))
     off = F.array(*[F.lit(i) for i in range(-radius, radius + 1)])
     guest = (
@@ -389,12 +435,25 @@ def link_names(mentions: DataFrame) -> DataFrame:
     short = nick.unionByName(resolve(asked, heads))
 
     step = stage(typo.unionByName(short).groupBy("form").agg(F.min("base").alias("base")), "steps")
-    root = groups.select("form", F.col("form").alias("at"))
-    for _ in range(4):  # typing error of a short form of a typing error: chains are short, and each step gains support
-        root = root.join(step.select(F.col("form").alias("at"), "base"), "at", "left").select("form", F.coalesce("base", "at").alias("at"))
-    return by_name.join(root, "form").select("name", F.col("at").alias("bearer"), "how").groupBy("name").agg(
-        F.min("bearer").alias("bearer"), F.min("how").alias("how")
-    )
+    root = _roots(step)
+    # a name of both types goes with the one that more contexts give it
+    placed = by_name.join(root, "form", "left").select("name", "type", "n", "how", F.coalesce("root", "form").alias("bearer"))
+    return placed.groupBy("name").agg(F.max_by("bearer", F.struct("n", "type")).alias("bearer"), F.min("how").alias("how"))
+
+
+def _roots(step: DataFrame) -> DataFrame:
+    """``form, root`` of ``step(form, base)``: where the steps from each form end, however many there are.
+
+    Every step gains support, so there are no rings. Each round doubles the steps that are taken.
+    """
+    left = step.select("form", F.col("base").alias("root"))
+    for _ in range(64):
+        onward = left.select(F.col("form").alias("root"), F.col("root").alias("next"))
+        left = stage(left.join(onward, "root", "left").select("form", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        if left.where("moved").isEmpty():
+            break
+        left = left.select("form", "root")
+    return left.select("form", "root")
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:

@@ -78,6 +78,28 @@ def test_rival_bearers_are_told_apart_by_context_or_left_alone(spark):
     assert nv.link_names(frame(spark, [])).count() == 0
 
 
+def test_long_chains_and_names_of_both_types(spark):
+    steps = [(f"f{i:02}", f"f{i + 1:02}") for i in range(21)] + [("g", "f20")]
+    got = {r.form: r.root for r in nv._roots(spark.createDataFrame(steps, "form string, base string")).collect()}
+    assert set(got.values()) == {"f21"} and len(got) == 22
+    rows = [("Walter Marwick, Jr.", "PERSON", c) for c in range(9)] + [("Walter Marwick, Jr.", "ORG", 99)] + [("Walter Marwick", "PERSON", c) for c in range(9)]
+    by = {r.name: r.bearer for r in nv.link_names(frame(spark, rows)).collect()}
+    assert by["Walter Marwick, Jr."] == by["Walter Marwick"] == "walter marwick"
+
+
+def test_cells_in_cells_lose_no_pair(spark, monkeypatch):
+    for name, value in {"FORMS_PER_PIVOT": 10, "FAN": 4, "CELL": 25, "PART": 60}.items():
+        monkeypatch.setattr(nv, name, value)
+    rnd = random.Random(6)
+    forms = sorted({"".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 8))) for _ in range(500)})
+    df = spark.createDataFrame([(f,) for f in forms], "form string")
+    placed = nv.cells(df, 1).collect()
+    assert sorted(r.form for r in placed if r.home) == forms and len({r.cell for r in placed}) > 4
+    got = {(r.a, r.b) for r in nv.near_forms(df, 1).collect()}
+    assert got == {(a, b) for i, a in enumerate(forms) for b in forms[i + 1 :] if nv.distance(a, b) <= 1}
+    assert nv.near_forms(df.limit(0)).count() == 0
+
+
 def test_two_edit_misreadings_and_two_errors_in_one_name(spark):
     others = ("Walter", "Susannah", "Theodore")
     full = [("Oliver Kinmivik", 9), ("Patricia Vuntequist", 9), ("Cornelius Favzester", 9), ("Dorothy Fumpender", 9), ("Samuel Famgender", 7), ("Samuel Fumpender", 8), ("Harriet Lesvuback", 6), ("Oliver Solgetz", 5)]
