@@ -21,4 +21,3 @@ KEYWORD_BOOST = 0.3
 ENTITIES_TRIED, PAGES_ADDED = 15, 5
 ALL_ENTITIES = 30
 GENERATED_KEYWORDS = 8
-AGE_BANDS = ["All", "5-8", "9-12", "13-15", "16-18"]

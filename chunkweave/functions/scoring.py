@@ -40,18 +40,15 @@ def classify_edge(a: Column, b: Column) -> Column:
     Names are compared in lower case without their types; the type is the one that the last entry
     of that name has in ``a``. FAC, LOC or no shared name give 'semantic'.
     """
-    names_b = F.transform(F.filter(b, lambda e: F.instr(e, ":") > 0), lambda e: F.lower(strip_type(e)))
-    typed = F.filter(a, lambda e: F.instr(e, ":") > 0)
-    names_a = F.transform(typed, lambda e: F.lower(strip_type(e)))
-    # entries of a whose name is shared and does not come again later in a
-    shared = F.filter(
-        F.transform(typed, lambda e, i: F.when(
-            F.array_contains(names_b, F.lower(strip_type(e)))
-            & ~F.array_contains(F.slice(names_a, i + 2, F.greatest(F.size(names_a), F.lit(1))), F.lower(strip_type(e))),
-            F.substring_index(e, ":", 1),
-        )),
-        lambda t: t.isNotNull(),
-    )
+    named = lambda c: F.transform(F.filter(c, lambda e: F.instr(e, ":") > 0), lambda e: F.struct(F.substring_index(e, ":", 1).alias("t"), F.lower(strip_type(e)).alias("n")))
+    lists = F.struct(named(a).alias("a"), F.transform(named(b), lambda e: e["n"]).alias("b"))
+
+    def types(x: Column) -> Column:  # the lists are made once a row, not once an entry
+        # entries of a whose name is shared and does not come again later in a
+        last = lambda e, i: F.array_contains(x["b"], e["n"]) & ~F.exists(F.slice(x["a"], i + 2, F.size(x["a"]) + 1), lambda f: f["n"] == e["n"])
+        return F.filter(F.transform(x["a"], lambda e, i: F.when(last(e, i), e["t"])), lambda t: t.isNotNull())
+
+    shared = F.element_at(F.transform(F.array(lists), types), 1)
     out = F.lit("semantic")
     for kind in sorted(config.EDGE_PRIORITY, key=config.EDGE_PRIORITY.get):
         out = F.when(F.array_contains(shared, kind), F.lit(kind)).otherwise(out)

@@ -35,10 +35,16 @@ def words(c: str | Column) -> Column:
 
 
 def windows(c: str | Column, size: int = config.CHUNK_WORDS, stride: int = config.CHUNK_STRIDE) -> Column:
-    """Array of structs (offset, text): word windows of ``size`` that start every ``stride`` words."""
-    w = words(c)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("offset"), F.array_join(F.slice(w, s + 1, size), " ").alias("text")))
+    """Array of structs (offset, text): word windows of ``size`` that start every ``stride`` words.
+
+    The words are bound to a variable, so that a body is split once and not again for each window.
+    """
+
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("offset"), F.array_join(F.slice(w, s + 1, size), " ").alias("text")))
+
+    return F.element_at(F.transform(F.array(words(c)), of), 1)
 
 
 def strip_tags(c: str | Column) -> Column:
@@ -83,11 +89,6 @@ def cap(c: str | Column, most: int, chars: int) -> Column:
     return F.slice(F.transform(kept, lambda x: F.substring(x, 1, chars)), 1, most)
 
 
-def first_distinct(c: Column) -> Column:
-    """Distinct members in order of first occurrence."""
-    return F.array_distinct(c)
-
-
 def parse_keyword_lines(c: str | Column, most: int = config.GENERATED_KEYWORDS) -> Column:
     """Keywords of a model's list: numbers, bullets, quotes and stray punctuation taken off."""
     lines = F.split(F.trim(F.regexp_replace(F.coalesce(_c(c), F.lit("")), r"^[\s\x00]+|[\s\x00]+$", "")), r"\r?\n")
@@ -135,6 +136,7 @@ def message_of(c: str | Column) -> Column:
     return F.when(whole.isNotNull() & (whole != ""), whole).when(at > 0, joined).when(at2 > 0, loose).otherwise(c)
 
 
+#: Fixed value: sentences that point at the list of suggestions.
 CUE = r"(?i)[^\n.!?]*\b(?:search suggestions?|suggested search terms?|suggestions? below|search terms? below)\b[^\n.!?]*[.!?]"
 
 

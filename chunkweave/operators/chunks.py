@@ -47,7 +47,7 @@ def packed_entities(c: str | Column) -> Column:
     types = F.array(*[F.lit(t) for t in config.ENTITY_TYPES])
     fine = F.filter(F.coalesce(c, F.array().cast(c_type(c))), lambda e: F.array_contains(types, e["type"]) & (F.trim(e["name"]) != ""))
     packed = F.transform(fine, lambda e: F.substring(tx.encode_typed(e["type"], F.trim(e["name"])), 1, config.ENTITY_CHARS))
-    return F.slice(tx.first_distinct(packed), 1, config.MOST_ENTITIES)
+    return F.slice(F.array_distinct(packed), 1, config.MOST_ENTITIES)
 
 
 def c_type(_: Column) -> str:

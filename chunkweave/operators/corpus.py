@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 
 from chunkweave import config
 from chunkweave.functions.text import tokenize
+from chunkweave.session import stage
 
-#: Parts that a dense numbering is made from; only one count per part is put in order.
-PARTS = 512
+#: Rows of a part that a dense numbering is made from, about; only one count per part is put in order.
+PART_ROWS = 50_000
 
 
 def missing_field(nodes: DataFrame, field: str, types: list[str]) -> DataFrame:
@@ -24,18 +25,13 @@ def missing_field(nodes: DataFrame, field: str, types: list[str]) -> DataFrame:
 def numbered(df: DataFrame, order: str, name: str = "i", seed: int | None = None) -> DataFrame:
     """Rows numbered 0, 1, ... by ``order`` (or, with a seed, by a seeded shuffle of it), without one task for all.
 
-    Ranges of the order are numbered apart; how many rows lie before a range is a running sum of
-    ``PARTS`` counts. The order column should be unique.
+    Ranges of the order, cut where the rows lie, are numbered apart; how many rows lie before a range is a
+    running sum of one count per range. The order column should be unique.
     """
     key = F.col(order) if seed is None else F.xxhash64(order, F.lit(seed))
-    rows = df.withColumn("_k", key)
-    if seed is not None:
-        part = F.floor((F.col("_k").cast("double") + 2.0**63) / 2.0**64 * PARTS).cast("int")
-    else:
-        low, high = rows.agg(F.min("_k"), F.max("_k")).first()
-        wide = max(1.0, (float(high) - float(low) + 1) / PARTS) if low is not None else 1.0
-        part = F.floor((F.col("_k") - F.lit(low or 0)) / wide).cast("int")
-    rows = rows.withColumn("_p", part)
+    parts = max(1, -(-df.count() // PART_ROWS))
+    ranged = df.withColumn("_k", key).repartitionByRange(parts, "_k")
+    rows = stage(ranged.withColumn("_p", F.spark_partition_id()), "ranges")  # written, so that no range is drawn anew
     counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy("_k", order)) - 1

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from chunkweave.operators import corpus, intent, retrieve, signals
+from chunkweave.operators import corpus, entities, intent, retrieve, signals
 from chunkweave.operators.chunks import chunk_windows, usable
 from chunkweave.plans import views as v
-from chunkweave.session import shared_dir
+from chunkweave.session import fresh
 from chunkweave.sources import store
 from chunkweave.sources.tables import current_chunks, current_nodes, table
 
@@ -17,7 +15,7 @@ TYPES = ["topic", "article"]
 
 
 def _place(s, name):
-    return f"{shared_dir(s)}/store-{uuid.uuid4().hex}/{name}"
+    return fresh(s, name)
 
 
 def src_fetch_nodes(s, d):
@@ -27,30 +25,67 @@ def src_fetch_nodes(s, d):
     return store.fetch_nodes(s, path).select("nid", "title", F.md5("body").alias("body_md5"), "age_range", F.array_join("keywords", "|").alias("keywords"))
 
 
-def sink_insert(s, d):
-    """A store made, filled with the chunks in two appends, and read back."""
+def _filled(s, d):
+    """A store made and filled with the chunks in two appends."""
     path = _place(s, "chunks")
-    rows = v.stored_chunks(s, d)
+    rows = v.stored_chunks(s, d, "source_nid", "text", "age_range", "keywords", "entities")
     store.create(s, path)
     odd = F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 1
     store.insert(rows.where(odd), path)
     store.insert(rows.where(~odd), path)
-    return s.read.parquet(path).select("chunk_id", "source_nid", F.length("text").alias("n_chars"), F.size("entities").alias("n_entities"))
+    return path
+
+
+def sink_insert(s, d):
+    return store.read(s, _filled(s, d)).select("chunk_id", "source_nid", F.length("text").alias("n_chars"), F.size("entities").alias("n_entities"))
 
 
 def sink_upsert(s, d):
-    """The stored chunks with their next sibling as neighbour: only that column is new."""
-    rows = v.chunks(s, d, "source_nid", "text")
+    """The next chunk of its node written into every chunk of a store as its neighbour; nothing else changes."""
+    path = _filled(s, d)
+    rows = v.chunks(s, d, "source_nid")
     after = rows.select(F.col("chunk_id").alias("dst"), "source_nid", (F.col("idx") - 1).alias("idx"))
     lists = rows.join(after, ["source_nid", "idx"]).select("chunk_id", F.array(F.concat(F.lit("semantic:"), "dst")).alias("neighbors"))
-    out = store.with_neighbours(rows.select("chunk_id", "source_nid"), lists)
-    return out.select("chunk_id", "source_nid", F.array_join("neighbors", "|").alias("neighbors"))
+    store.upsert_neighbours(s, path, lists)
+    return store.read(s, path).select("chunk_id", "source_nid", F.length("text").alias("n_chars"), F.coalesce(F.array_join("neighbors", "|"), F.lit("")).alias("neighbors"))
 
 
 def sink_delete_by_nid(s, d):
-    """Chunks left when those of unpublished nodes are deleted."""
-    gone = v.nodes(s, d).where("status <> 1").select("nid")
-    return store.without_nodes(v.chunks(s, d, "source_nid"), gone).select("chunk_id", "source_nid")
+    """What a store holds after the chunks of unpublished nodes were deleted from it."""
+    path = _filled(s, d)
+    store.change_nodes(s, path, v.nodes(s, d).where("status <> 1").select("nid"))
+    return store.read(s, path).select("chunk_id", "source_nid")
+
+
+def get_chunks_by_ids(s, d):
+    """Chunks of a store by id: the first chunk of every node that a collection names; absent ones are silently left out."""
+    asked = table(s, d, "collections").select(F.explode("nids").alias("nid")).where("nid is not null").select(F.concat(F.lit("nid_"), "nid", F.lit("_c_0")).alias("chunk_id"))
+    return store.by_ids(store.read(s, _filled(s, d)), asked).select("chunk_id", "source_nid", F.length("text").alias("n_chars"))
+
+
+def collection_append(s, d):
+    """Collections saved in two appends to one table, and read back."""
+    path, saved = _place(s, "collections"), corpus.save_collection(table(s, d, "collections"))
+    store.append_collection(saved.where("collection_id % 2 = 0"), path)
+    store.append_collection(saved.where("collection_id % 2 = 1"), path)
+    return s.read.parquet(path).select("collection_id", "title", "status", F.array_join("nids", ",").alias("nids"))
+
+
+def cloud_types(s, d):
+    """The chunks' entities as a cloud service would label them, packed again under the types of the graph."""
+    rows = current_chunks(table(s, d, "chunks"), ["entities"])
+    named = F.transform(F.coalesce("entities", F.array().cast("array<struct<type:string,name:string>>")), lambda e: F.struct(
+        F.coalesce(F.element_at(F.create_map(F.lit("ORG"), F.lit("ORGANIZATION"), F.lit("GPE"), F.lit("LOCATION")), e["type"]), e["type"]).alias("type"), e["name"].alias("name")
+    ))
+    return rows.select("chunk_id", F.array_join(entities.cloud_types(named), "|").alias("entities"))
+
+
+def sink_config_json(s, d):
+    """A threshold written as JSON and read back: the share of chunks with a usable vector."""
+    share = current_chunks(table(s, d, "chunks"), ["vector"]).agg(F.round(F.avg(usable("vector").cast("int")), 6)).first()[0]
+    path = _place(s, "threshold")
+    store.save_threshold(s, share or 0.0, path)
+    return s.createDataFrame([(store.load_threshold(s, path), store.load_threshold(s, path + "-none"))], "stored double, missing double")
 
 
 def get_by_ids(s, d):
@@ -159,7 +194,7 @@ def chunk_counts(s, d):
 
 
 QUERIES = {
-    "src_fetch_nodes": src_fetch_nodes, "sink_insert": sink_insert, "sink_upsert": sink_upsert, "sink_delete_by_nid": sink_delete_by_nid, "get_by_ids": get_by_ids,
+    "src_fetch_nodes": src_fetch_nodes, "sink_insert": sink_insert, "sink_upsert": sink_upsert, "sink_delete_by_nid": sink_delete_by_nid, "get_by_ids": get_by_ids, "get_chunks_by_ids": get_chunks_by_ids, "collection_append": collection_append, "cloud_types": cloud_types, "sink_config_json": sink_config_json,
     "query_by_filter": query_by_filter, "corpus_signals": corpus_signals, "src_import_signals": src_import_signals, "signals_total": signals_total,
     "collection_save": collection_save, "filter_age_range": filter_age_range, "filter_missing_field": filter_missing_field, "filter_entity_type": filter_entity_type,
     "filter_min_len": filter_min_len, "filter_has_vector": filter_has_vector, "probe_dim": probe_dim, "batch_limit": batch_limit, "seed_balanced": seed_balanced,
@@ -185,8 +220,13 @@ WEIGHTS = f"""{LEXICON}, {BY_NAME}, wt AS (SELECT query_id, type, max(CAST({WEIG
 SQL = {
     "src_fetch_nodes": f"WITH {v.EXPORT} SELECT nid, title, md5(body) AS body_md5, age_range, array_to_string(keywords, '|') AS keywords FROM x",
     "sink_insert": f"WITH {v.CHUNKS} SELECT chunk_id, source_nid, length(text) AS n_chars, len(entities) AS n_entities FROM c",
-    "sink_upsert": f"""WITH {v.CHUNKS} SELECT a.chunk_id, a.source_nid, coalesce('semantic:' || b.chunk_id, '') AS neighbors FROM c a LEFT JOIN c b ON a.source_nid = b.source_nid AND a.idx + 1 = b.idx""",
-    "sink_delete_by_nid": f"WITH {v.CHUNKS}, {v.NODES} SELECT chunk_id, source_nid FROM c WHERE source_nid NOT IN (SELECT nid FROM n WHERE status <> 1)",
+    "sink_upsert": f"""WITH {v.CHUNKS} SELECT a.chunk_id, a.source_nid, length(a.text) AS n_chars, coalesce('semantic:' || b.chunk_id, '') AS neighbors FROM c a LEFT JOIN c b ON a.source_nid = b.source_nid AND a.idx + 1 = b.idx""",
+    "get_chunks_by_ids": f"WITH {v.CHUNKS}, a AS (SELECT DISTINCT 'nid_' || nid || '_c_0' AS chunk_id FROM (SELECT unnest(nids) AS nid FROM collections)) SELECT chunk_id, source_nid, length(text) AS n_chars FROM c JOIN a USING (chunk_id)",
+    "collection_append": "SELECT collection_id, title, 1 AS status, coalesce(array_to_string(nids, ','), '') AS nids FROM collections",
+    "cloud_types": f"""WITH {v.CHUNKS}, k AS (SELECT chunk_id, list_transform(list_filter(coalesce(entities, []), lambda e: e.type IN ('PERSON', 'ORG', 'GPE', 'EVENT')), lambda e: e.type || ':' || e.name)[1:150] AS e FROM r)
+      SELECT chunk_id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|') AS entities FROM k""",
+    "sink_config_json": f"WITH {v.CHUNKS} SELECT round(avg(CAST(vector IS NOT NULL AS INT)), 6) AS stored, CAST(0.55 AS DOUBLE) AS missing FROM c",
+    "sink_delete_by_nid": f"WITH {v.CHUNKS}, {v.NODES} SELECT chunk_id, source_nid FROM c WHERE source_nid IS NULL OR source_nid NOT IN (SELECT nid FROM n WHERE status <> 1)",
     "get_by_ids": f"WITH {v.NODES}, a AS (SELECT DISTINCT collection_id, unnest(nids) AS nid FROM collections) SELECT collection_id, nid, coalesce(title, '') AS title FROM a JOIN n USING (nid)",
     "query_by_filter": f"WITH {v.CHUNKS} SELECT source_nid, chunk_id FROM c QUALIFY row_number() OVER (PARTITION BY source_nid ORDER BY idx NULLS LAST, chunk_id) = 1",
     "corpus_signals": f"WITH {v.CHUNKS}, {v.SIGNALS} SELECT type, name, n, rank FROM sig",

@@ -7,17 +7,16 @@ the index.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from chunkweave import config
 from chunkweave.functions import scoring as sc
-from chunkweave.operators import embed, entities, graph, knn
+from chunkweave.operators import build, embed, entities, graph, knn
 from chunkweave.operators.stats import percentile
 from chunkweave.plans import views as v
-from chunkweave.session import shared_dir, stage
-from chunkweave.sources.tables import current_chunks, table
+from chunkweave.session import fresh
+from chunkweave.sources import store
+from chunkweave.sources.tables import table
 from chunkweave.streaming import sync
 
 
@@ -65,7 +64,7 @@ def entity_overlap(s, d):
 
 
 def knn_join(s, d):
-    rows = v.stored_chunks(s, d).where(F.col("vector").isNotNull())
+    rows = v.stored_chunks(s, d, "vector").where(F.col("vector").isNotNull())
     asked = v.every_20th(rows).select(F.col("chunk_id").alias("query"), "vector")
     near = knn.exact_search(asked, rows.select(F.col("chunk_id").alias("id"), "vector"), config.NEIGHBOURS)
     return near.select(F.col("query").alias("src"), F.col("id").alias("dst"), F.round("score", 6).alias("cosine"), F.col("rank").cast("long").alias("ann_rank"))
@@ -104,7 +103,7 @@ def count_with_neighbors(s, d):
 
 def _linked_columns(s, d):
     """What edges are made of, without the texts, written once."""
-    return stage(v.chunks(s, d, "vector", "entities", "keywords"), "chunks")
+    return v.stored_chunks(s, d, *v.LINKED)
 
 
 def corpus_threshold(s, d):
@@ -120,17 +119,17 @@ def corpus_with_neighbors(s, d):
 
 def build_neighbors(s, d):
     """The whole graph by the index: every chunk's best edges, pruned at the corpus percentile."""
-    return _rounded(graph.build(v.stored_chunks(s, d)))
+    return _rounded(graph.build(_linked_columns(s, d)))
 
 
 def neighbor_lists(s, d):
     """The whole graph as packed lists."""
-    return graph.neighbour_lists(graph.build(v.stored_chunks(s, d)))
+    return graph.neighbour_lists(graph.build(_linked_columns(s, d)))
 
 
 def index_recall(s, d):
     """Recall of the index against exact search, over the stated set."""
-    rows = v.stored_chunks(s, d).where(F.col("vector").isNotNull()).select(F.col("chunk_id").alias("id"), "vector", "idx")
+    rows = v.stored_chunks(s, d, "vector").where(F.col("vector").isNotNull()).select(F.col("chunk_id").alias("id"), "vector", "idx")
     exact = knn.exact_search(v.every_20th(rows.withColumnRenamed("id", "query")).select("query", "vector"), rows.select("id", "vector"), config.NEIGHBOURS)
     found = knn.index_search(rows.select("id", "vector"), config.NEIGHBOURS).select("query", "id", F.lit(1).alias("hit"))
     both = exact.join(found, ["query", "id"], "left")
@@ -138,14 +137,24 @@ def index_recall(s, d):
 
 
 def build_index(s, d):
-    """Cells of the index and the rows at home in each."""
+    """An index of all vectors, written and kept; the rows at home in each of its cells."""
     rows = v.chunks(s, d, "vector").where(F.col("vector").isNotNull()).select(F.col("chunk_id").alias("id"), "vector")
-    return knn.cell_sizes(rows)
+    path = fresh(s, "index")
+    knn.build_index(rows, path)
+    return knn.cell_sizes(s, path)
+
+
+def search_index(s, d):
+    """The nearest chunk of each chunk, by an index that was built and kept before."""
+    rows = v.chunks(s, d, "vector").where(F.col("vector").isNotNull()).select(F.col("chunk_id").alias("id"), "vector")
+    path = fresh(s, "index")
+    knn.build_index(rows, path)
+    return knn.search_index(s, path, 1).select(F.col("query").alias("src"), F.col("id").alias("dst"), F.round("score", 4).alias("cosine"))
 
 
 def neighbors_incremental(s, d):
     """Edges of the newest chunks (by number, a twentieth) to the rest, at the fixed threshold."""
-    rows = v.stored_chunks(s, d)
+    rows = v.stored_chunks(s, d, *v.LINKED)
     new = F.col("idx") % 20 == 0
     return _rounded(graph.incremental(rows.where(new), rows.where(~new)))
 
@@ -157,25 +166,63 @@ def _enrich(chunks):
     return chunks.join(found, "chunk_id").join(vectors, "chunk_id")
 
 
+def _changed(s, d):
+    """The nodes that were exported more than once."""
+    return table(s, d, "nodes").groupBy("nid").agg(F.count("*").alias("n")).where("n > 1").select("nid")
+
+
 def sync_incremental(s, d):
-    """The nodes whose current revision was exported more than once, built again beside the store."""
-    nodes = table(s, d, "nodes")
-    changed = nodes.groupBy("nid").agg(F.count("*").alias("n")).where("n > 1").select("nid")
-    new = sync.resync(changed, nodes, v.stored_chunks(s, d), _enrich)
+    """The new chunks of those nodes, built beside the store, with their neighbours in it."""
+    new = sync.resync(_changed(s, d), table(s, d, "nodes"), v.stored_chunks(s, d, "source_nid", *v.LINKED), _enrich)
     return new.select("chunk_id", "source_nid", F.length("text").alias("n_chars"), F.size("entities").alias("n_entities"), F.size("neighbors").alias("n_neighbors"))
 
 
+def sync_incremental_chunks(s, d):
+    """The new chunks without what the models and the index make of them."""
+    return sync_incremental(s, d).select("chunk_id", "source_nid", F.col("n_chars"))
+
+
+def _store(s, d):
+    """A store of the clean chunks with a threshold, as a build leaves it."""
+    base = fresh(s, "graph")
+    store.create(s, f"{base}/chunks")
+    store.insert(v.chunks(s, d), f"{base}/chunks")
+    store.save_threshold(s, config.FALLBACK_THRESHOLD, f"{base}/threshold")
+    return base
+
+
+def _rows_of(chunks):
+    return chunks.select("chunk_id", "source_nid", F.length("text").alias("n_chars"))
+
+
+def sync_applied(s, d):
+    """The whole store after the changed nodes were synchronised into it."""
+    base = _store(s, d)
+    sync.apply(_changed(s, d), table(s, d, "nodes"), base, _enrich)
+    return _rows_of(store.read(s, f"{base}/chunks"))
+
+
 def sync_stream(s, d):
-    """The same changes as a stream of files, applied per micro-batch; the chunks that were rebuilt."""
-    base = f"{shared_dir(s)}/sync-{uuid.uuid4().hex}"
-    nodes, stored = table(s, d, "nodes"), v.stored_chunks(s, d)
-    nodes.groupBy("nid").agg(F.count("*").alias("n")).where("n > 1").select("nid").write.parquet(f"{base}/changes")
+    """The same changes as a stream of files, applied to the store per micro-batch; the whole store after it."""
+    base = _store(s, d)
+    nodes = table(s, d, "nodes")
+    _changed(s, d).write.parquet(f"{base}/changes")
+    sync.watch(s, f"{base}/changes", "nid long", lambda changed, batch: sync.apply(changed, nodes, base, _enrich), f"{base}/progress").awaitTermination()
+    return _rows_of(store.read(s, f"{base}/chunks"))
+
+
+def _built(s, d):
+    return build.build_graph(table(s, d, "nodes"), fresh(s, "graph"), _enrich, "stand-ins")
+
+
+def build_graph(s, d):
+    """Nodes to a stored graph: the chunks of the store, and whether each list of neighbours is as long as it may be."""
+    return _built(s, d).select("chunk_id", "source_nid", F.length("text").alias("n_chars"), (F.size("neighbors") <= config.NEIGHBOURS).alias("capped"))
 
-    def apply(changed, batch):
-        sync.resync(changed, nodes, stored, _enrich).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
 
-    sync.watch(s, f"{base}/changes", "nid long", apply, f"{base}/progress").awaitTermination()
-    return s.read.parquet(f"{base}/out").select("chunk_id", "source_nid", F.length("text").alias("n_chars"))
+def build_graph_edges(s, d):
+    """The neighbours in the built store, one row an edge."""
+    return _built(s, d).select("chunk_id", F.posexplode("neighbors").alias("place", "neighbor"))
 
 
 def embed_doc(s, d):
@@ -190,7 +237,8 @@ QUERIES = {
     "knn_join": knn_join, "edge_candidates": edge_candidates, "percentile_threshold": percentile_threshold, "filter_threshold": filter_threshold,
     "topk_neighbors": topk_neighbors, "count_with_neighbors": count_with_neighbors, "corpus_threshold": corpus_threshold,
     "corpus_with_neighbors": corpus_with_neighbors, "build_neighbors": build_neighbors, "neighbor_lists": neighbor_lists,
-    "index_recall": index_recall, "build_index": build_index, "neighbors_incremental": neighbors_incremental, "sync_incremental": sync_incremental,
+    "index_recall": index_recall, "build_index": build_index, "search_index": search_index, "build_graph": build_graph, "build_graph_edges": build_graph_edges,
+    "sync_applied": sync_applied, "neighbors_incremental": neighbors_incremental, "sync_incremental": sync_incremental, "sync_incremental_chunks": sync_incremental_chunks,
     "sync_stream": sync_stream, "embed_doc": embed_doc,
 }
 
@@ -201,6 +249,8 @@ _CHANGED = f"{v.NODES}, g AS (SELECT nid FROM nodes GROUP BY nid HAVING count(*)
 _WINDOWS = r"""w AS (SELECT nid, list_filter(string_split_regex(body, '[\t\n\x0B\f\r\x{85}\p{Z}]+'), lambda w: w <> '') AS ws FROM x),
   o AS (SELECT *, unnest(range(0, len(ws), 100)) AS o FROM w), t AS (SELECT nid, o, array_to_string(ws[o + 1:o + 120], ' ') AS text FROM o),
   k AS (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY o) - 1 AS idx FROM t WHERE length(trim(text)) > 10)"""
+_SYNCED = f"""WITH {_CHANGED}, {_WINDOWS}, {v.CHUNKS} SELECT 'nid_' || nid || '_c_' || idx AS chunk_id, nid AS source_nid, length(text) AS n_chars FROM k
+  UNION ALL SELECT chunk_id, source_nid, length(text) FROM c WHERE source_nid IS NULL OR source_nid NOT IN (SELECT nid FROM g WHERE nid IS NOT NULL)"""
 SQL = {
     "dot_product": f"WITH {v.SIBLINGS} SELECT src, dst, round(dot, 6) AS dot FROM sib",
     "cosine": f"WITH {v.SIBLINGS} SELECT src, dst, round(cosine, 6) AS cosine FROM sib",
@@ -215,5 +265,8 @@ SQL = {
     "topk_neighbors": f"WITH {_CAND}, {_THR} SELECT src AS chunk_id, string_agg(edge_type || ':' || dst, '|' ORDER BY ann_rank) AS neighbors FROM cand, thr WHERE score >= t GROUP BY src",
     "count_with_neighbors": f"WITH {_CAND}, {_THR} SELECT count(DISTINCT src) AS n_chunks, count(*) AS n_edges FROM cand, thr WHERE score >= t",
     "neighbors_incremental": "WITH " + v.candidates_sql("idx % 20 = 0").replace("c.vector IS NOT NULL AND c.chunk_id <> q0.chunk_id", "c.vector IS NOT NULL AND (c.idx % 20 <> 0)") + f" SELECT {_COLS} FROM cand WHERE score >= 0.55",
-    "sync_stream": f"WITH {_CHANGED}, {_WINDOWS} SELECT 'nid_' || nid || '_c_' || idx AS chunk_id, nid AS source_nid, length(text) AS n_chars FROM k",
+    "sync_stream": _SYNCED,
+    "sync_applied": _SYNCED,
+    "build_graph": f"WITH {v.EXPORT}, {_WINDOWS} SELECT 'nid_' || nid || '_c_' || idx AS chunk_id, nid AS source_nid, length(text) AS n_chars, true AS capped FROM k",
+    "sync_incremental_chunks": f"WITH {_CHANGED}, {_WINDOWS} SELECT 'nid_' || nid || '_c_' || idx AS chunk_id, nid AS source_nid, length(text) AS n_chars FROM k",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chunkweave.functions import scoring as sc
-from chunkweave.operators import graph, retrieve, signals
+from chunkweave.operators import graph, intent, retrieve, signals
 from chunkweave.plans import views as v
 from chunkweave.plans.corpus_queries import WEIGHTS
 from chunkweave.plans.text_queries import TOKENS
@@ -21,13 +21,13 @@ def _pos(df):
 
 
 def seed_search(s, d):
-    found = retrieve.seeds(table(s, d, "queries"), v.stored_chunks(s, d))
+    found = retrieve.seeds(table(s, d, "queries"), v.stored_chunks(s, d, *v.SEARCHED))
     return _pos(found).withColumn("cosine", F.round("cosine", 6))
 
 
 def retrieve_errors(s, d):
     q = table(s, d, "queries")
-    return retrieve.status(q, retrieve.seeds(q, v.stored_chunks(s, d)))
+    return retrieve.status(q, retrieve.seeds(q, v.stored_chunks(s, d, *v.SEARCHED)))
 
 
 def hop1_expand(s, d):
@@ -53,8 +53,21 @@ def rerank_lexical(s, d):
     return _pos(best.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"))
 
 
-def keyword_boost(s, d):
+def rerank_mixed(s, d):
+    """The two chunks before and after each seed, with and without a usable vector: vector rows first, then the others by words."""
     rows, q = v.stored_chunks(s, d), table(s, d, "queries")
+    found = retrieve.seeds(q, rows).join(rows.select("chunk_id", "source_nid", "idx"), "chunk_id")
+    near = F.explode(F.array(*[F.lit(i) for i in (-2, -1, 1, 2)]))
+    asked = found.select("query_id", "source_nid", "idx", near.alias("o")).select("query_id", "source_nid", (F.col("idx") + F.col("o")).alias("idx"))
+    beside = asked.join(rows.select("source_nid", "idx", "chunk_id"), ["source_nid", "idx"]).select("query_id", "chunk_id").distinct()
+    beside = beside.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    candidates = beside.select("query_id", "chunk_id", F.lit("semantic").alias("edge_type"), F.lit(1).alias("hop"))
+    best = retrieve.rerank(candidates, retrieve.answerable(q), rows, intent.weights(q, signals.corpus_signals(rows)))
+    return _pos(best.select("query_id", "chunk_id", "has_vector", F.round("score", 6).alias("score"), "rank"))
+
+
+def keyword_boost(s, d):
+    rows, q = v.stored_chunks(s, d, "keywords", *v.SEARCHED), table(s, d, "queries")
     both = retrieve.seeds(q, rows).join(rows.select("chunk_id", "keywords"), "chunk_id").join(q.select("query_id", "keyword_hints"), "query_id")
     return both.select("query_id", "chunk_id", F.round(sc.keyword_boost(F.col("keyword_hints"), F.col("keywords")), 6).alias("boost"))
 
@@ -99,7 +112,7 @@ def retrieve_built(s, d):
 
 QUERIES = {
     "seed_search": seed_search, "retrieve_errors": retrieve_errors, "hop1_expand": hop1_expand, "topk_hop1_expand": topk_hop1_expand, "hop2_expand": hop2_expand,
-    "rerank_vector": rerank_vector, "rerank_lexical": rerank_lexical, "keyword_boost": keyword_boost, "first_per_nid": first_per_nid, "entity_freq": entity_freq,
+    "rerank_vector": rerank_vector, "rerank_lexical": rerank_lexical, "rerank_mixed": rerank_mixed, "keyword_boost": keyword_boost, "first_per_nid": first_per_nid, "entity_freq": entity_freq,
     "expand_entity_pages": expand_entity_pages, "retrieve": retrieve_, "retrieve_built": retrieve_built,
 }
 
@@ -149,8 +162,21 @@ _LEX = f"""{_HOPS}, {v.SIGNALS}, {WEIGHTS},
         / sqrt(CAST(greatest(len(regexp_extract_all(low, '[A-Za-z''-]+')), 1) AS DOUBLE))
       + 0.5 * coalesce(list_sum(list_transform(terms, lambda t: len(list_filter(names, lambda n: contains(n, t))))), 0) END
       * coalesce(weight, 1.0) * {_BOOST.format(k='keywords')} AS score FROM lx LEFT JOIN wt ON wt.query_id = lx.query_id AND wt.type = lx.edge_type)"""
+_WORDS = """CASE WHEN len(terms) = 0 THEN 0.0 ELSE
+      coalesce(list_sum(list_transform(terms, lambda t: CAST(length(low) - length(replace(low, t, '')) AS DOUBLE) / length(t))), 0)
+        / sqrt(CAST(greatest(len(regexp_extract_all(low, '[A-Za-z''-]+')), 1) AS DOUBLE))
+      + 0.5 * coalesce(list_sum(list_transform(terms, lambda t: len(list_filter(names, lambda n: contains(n, t))))), 0) END"""
+_MIXED = f"""WITH {v.CHUNKS}, {_SEEDS}, qt AS (SELECT query_id, {TOKENS.format('text')} AS terms FROM qv),
+  sd AS (SELECT query_id, source_nid, idx FROM seeds JOIN c USING (chunk_id)),
+  bs AS (SELECT DISTINCT sd.query_id, c.chunk_id FROM sd JOIN c ON c.source_nid = sd.source_nid AND abs(c.idx - sd.idx) IN (1, 2)
+    WHERE NOT EXISTS (SELECT 1 FROM seeds s2 WHERE s2.query_id = sd.query_id AND s2.chunk_id = c.chunk_id)),
+  mx AS (SELECT bs.query_id, chunk_id, vector IS NOT NULL AS has_vector, qv, hints, keywords, terms, names, lower(text) AS low FROM bs JOIN c USING (chunk_id) JOIN (SELECT query_id, qv, hints FROM qv) q USING (query_id) JOIN qt USING (query_id)),
+  ms AS (SELECT query_id, mx.chunk_id, has_vector, list_inner_product(mx.qv, cvec.vector) * {_BOOST.format(k='mx.keywords')} AS score FROM mx JOIN cvec USING (chunk_id)
+    UNION ALL SELECT query_id, chunk_id, has_vector, ({_WORDS}) * {_BOOST.format(k='keywords')} AS score FROM mx WHERE NOT has_vector)
+  SELECT query_id, chunk_id, has_vector, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY has_vector DESC, round(score, 9) DESC, chunk_id) AS rank FROM ms QUALIFY rank <= 25"""
 
 SQL = {
+    "rerank_mixed": _MIXED,
     "seed_search": f"WITH {v.CHUNKS}, {_SEEDS} SELECT query_id, chunk_id, round(cosine, 6) AS cosine, rank FROM seeds",
     "retrieve_errors": f"WITH {v.CHUNKS}, {_SEEDS} SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM qv) THEN 'no query vector' WHEN query_id NOT IN (SELECT query_id FROM seeds) THEN 'no seeds' ELSE 'ok' END AS status FROM queries",
     "hop1_expand": f"WITH {_HOPS} SELECT query_id, chunk_id, edge_type FROM h1",

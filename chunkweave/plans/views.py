@@ -15,9 +15,13 @@ def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return graph_chunks(table(spark, d, "chunks"), list(columns) or None)
 
 
-def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The clean chunks, written once: searches read them several times."""
-    return stage(chunks(spark, d), "chunks")
+def stored_chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The clean chunks, only the asked columns, written once: searches read them several times."""
+    return stage(chunks(spark, d, *columns), "chunks")
+
+
+LINKED = ("vector", "entities", "keywords")
+SEARCHED = ("vector", "age_range")
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -34,13 +38,13 @@ def every_20th(rows: DataFrame) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = stored_chunks(spark, d)
+    rows = stored_chunks(spark, d, *LINKED)
     return stage(graph.exact_candidates(every_20th(rows), rows), "candidates")
 
 
 def steps(spark: SparkSession, d: str, upto: str = "best") -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """(clean chunks, queries, phases of the retrieval), with edges worked out exactly when asked for."""
-    rows = stored_chunks(spark, d)
+    rows = stored_chunks(spark, d, "source_nid", "age_range", *LINKED, *(["text"] if upto == "best" else []))
     queries = table(spark, d, "queries")
     return rows, queries, retrieve.traverse(queries, rows, retrieve.exact_edges(rows), signals.corpus_signals(rows), upto)
 

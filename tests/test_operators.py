@@ -60,6 +60,40 @@ def test_index_recall_and_skew(spark, monkeypatch):
     assert knn.index_search(rows.limit(0), 10, dim=16).count() == 0
 
 
+def test_many_queries_meet_parts_of_the_rows(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    x = rnd.standard_normal((120, 8))
+    rows = spark.createDataFrame([(f"r{i:03}", [float(v) for v in x[i]], "ab"[i % 2]) for i in range(120)], "id string, vector array<double>, tag string")
+    q = spark.createDataFrame([(f"r{i:03}", [float(v) for v in x[i]], (None, "a")[i % 2]) for i in range(50)], "query string, vector array<double>, tag string")
+    key = lambda df: sorted((r.query, r.id, r.rank) for r in df.collect())
+    one = key(knn.exact_search(q, rows, 4, dim=8))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 13)
+    monkeypatch.setattr(knn, "ROW_PART", 17)
+    assert key(knn.exact_search(q, rows, 4, dim=8)) == one and len(one) == 200
+    assert knn.exact_search(q.limit(0), rows, 4, dim=8).count() == 0
+
+
+def test_cells_in_cells(spark, monkeypatch):
+    for name, value in {"SPLIT_ROWS": 150, "FAN_CELLS": 6, "CELL_ROWS": 60, "ROW_PART": 200}.items():
+        monkeypatch.setattr(knn, name, value)
+    rnd = np.random.default_rng(6)
+    centres = rnd.standard_normal((30, 16))
+    x = centres[np.where(rnd.random(2500) < 0.4, 0, rnd.integers(0, 30, 2500))] + 0.3 * rnd.standard_normal((2500, 16))
+    rows = spark.createDataFrame([(f"r{i:04}", [float(v) for v in x[i]]) for i in range(2500)], "id string, vector array<double>")
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    knn.build_index(rows, path, probes=3, dim=16)
+    sizes = [r.n for r in knn.cell_sizes(spark, path).collect()]
+    assert sum(sizes) == 2500 and max(sizes) <= 150 and len(sizes) > 20
+    got = {}
+    for r in knn.search_index(spark, path, 5, dim=16).collect():
+        got.setdefault(r.query, set()).add(r.id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert len(got) == 2500 and np.mean([len(got[f"r{i:04}"] & {f"r{j:04}" for j in want[i]}) / 5 for i in range(2500)]) >= 0.7
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 500, 4001])
 def test_percentile(spark, monkeypatch, n):
     from chunkweave.operators import stats
@@ -156,6 +190,12 @@ def test_numbering_batches_and_balance(spark):
     terms = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "tid long, label string")
     ten = corpus.assign_balanced(df.limit(10), terms)
     assert sorted(r.n for r in corpus.distribution(ten).collect()) == [3, 3, 4]
+    from chunkweave.operators import corpus as c
+
+    rows, c.PART_ROWS = c.PART_ROWS, 90  # ranges are cut where the rows lie, one far id or not
+    far = df.unionByName(spark.createDataFrame([(10**15,)], "nid long"))
+    assert {r.nid: r.i for r in corpus.numbered(far, "nid").collect()} == {n: i for i, n in enumerate([*sorted(ids), 10**15])}
+    c.PART_ROWS = rows
     assert corpus.numbered(df.limit(0), "nid").count() == 0 and corpus.assign_balanced(df, terms.limit(0)).where("tid is null").count() == 1000
 
 
@@ -211,15 +251,23 @@ def test_export_and_windows(spark):
 
 def test_store_stages_and_sync(spark):
     base = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
-    store.create(spark, base + "/s")
-    old = chunks(spark, [("nid_1_c_0", 1, unit(0), ["PERSON:A"], [], ""), ("nid_2_c_0", 2, unit(0, lean=0.1), ["PERSON:A"], [], "")])
-    store.insert(old.drop("idx"), base + "/s")
-    store.create(spark, base + "/s")  # what is there stays
-    stored = spark.read.parquet(base + "/s")
-    assert stored.count() == 2 and [f.split()[0] for f in store.CHUNK.split(", ")] == stored.columns
-    assert not store.may_rebuild(spark, base + "/s", resume=True, has_stages=False) and store.may_rebuild(spark, base + "/s", False, False)
-    assert spark.read.parquet(store.replace(old.limit(1).drop("idx"), base + "/s")).count() == 1 and spark.read.parquet(base + "/s").count() == 2
+    path = base + "/s"
+    store.create(spark, path)
+    assert store.read(spark, path).count() == 0
+    old = chunks(spark, [("nid_1_c_0", 1, unit(0), ["PERSON:A"], [], ""), ("nid_2_c_0", 2, unit(0, lean=0.1), ["PERSON:A"], [], ""), ("odd", None, None, [], [], "")])
+    store.insert(old.drop("idx"), path)
+    store.create(spark, path)  # what is there stays
+    stored = store.read(spark, path)
+    assert stored.count() == 3 and [f.split()[0] for f in store.CHUNK.split(", ")] + ["bucket"] == stored.columns
+    assert not store.may_rebuild(spark, path, resume=True, has_stages=False) and store.may_rebuild(spark, path, False, False)
     assert store.by_ids(stored, spark.createDataFrame([("nid_1_c_0",), ("no",), ("nid_1_c_0",)], "chunk_id string")).count() == 1
+    store.upsert_neighbours(spark, path, spark.createDataFrame([("nid_2_c_0", ["ORG:nid_1_c_0"]), ("gone", ["x"])], "chunk_id string, neighbors array<string>"))
+    assert {r.chunk_id: r.neighbors for r in store.read(spark, path).collect()} == {"nid_1_c_0": None, "nid_2_c_0": ["ORG:nid_1_c_0"], "odd": None}
+    gone = spark.createDataFrame([(1,), (None,), (77,)], "nid long")
+    store.change_nodes(spark, path, gone, chunks(spark, [("nid_77_c_0", 77, unit(1), [], [], ""), ("nid_5_c_0", 5, unit(1), [], [], "")]))
+    assert {r.chunk_id for r in store.read(spark, path).collect()} == {"nid_2_c_0", "odd", "nid_77_c_0"}  # only chunks of the named nodes come in
+    store.change_nodes(spark, path, spark.createDataFrame([(77,), (2,)], "nid long"))
+    assert {r.chunk_id for r in store.read(spark, path).collect()} == {"odd"}
     stages, calls = store.Stages(spark, uuid.uuid4().hex), []
 
     def make():
@@ -242,6 +290,51 @@ def test_store_stages_and_sync(spark):
     def enrich(c):
         return c.withColumn("entities", F.array(F.lit("PERSON:A"))).withColumn("vector", F.array(*[F.lit(float(x)) for x in unit(0)]).cast("array<float>"))
 
+    old = old.where("source_nid is not null")
     more = old.unionByName(chunks(spark, [("nid_3_c_0", 3, unit(0, lean=0.2), ["PERSON:A"], [], "")]))
     new = sync.resync(spark.createDataFrame([(1,), (2,), (None,)], "nid long"), nodes, more, enrich).collect()
     assert [(r.chunk_id, r.neighbors) for r in new] == [("nid_1_c_0", ["PERSON:nid_3_c_0"])]  # not to deleted chunks, none for the unpublished node
+
+
+def test_build_and_synchronise_a_store(spark):
+    from chunkweave.operators import build
+
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    made = []
+    raw = [(i, "t", f"words of node {i} and the rest of it " * (1 + i), "", ["k"], "topic", 1) for i in range(1, 7)]
+    schema = "nid long, title string, body string, age_range string, keywords array<string>, type string, status int"
+    nodes = spark.createDataFrame(raw, schema).withColumn("changed_at", F.lit("2025-01-01").cast("timestamp"))
+
+    def enrich(c):
+        made.append(1)
+        v = F.array(*[F.when(F.pmod("source_nid", F.lit(2)) == i % 2, F.lit(1.0)).otherwise(0.1) + F.col("source_nid") * F.lit(0.01 * i) for i in range(64)])
+        return c.withColumn("entities", F.array(F.lit("PERSON:A"))).withColumn("vector", v.cast("array<float>"))
+
+    built = build.build_graph(nodes, path, enrich, "m")
+    assert {r.source_nid for r in built.collect()} == set(range(1, 7)) and store.load_threshold(spark, path + "/threshold") > 0
+    edges = [x for r in built.collect() for x in r.neighbors]
+    n = built.count()
+    assert edges and all(x.startswith("PERSON:nid_") for x in edges)
+    again = build.build_graph(nodes, path, enrich, "m", resume=True)
+    assert len(made) == 1 and again.count() == n  # the steps are taken up again
+    build.build_graph(nodes, path, enrich, "m")
+    assert len(made) == 2  # a full build starts anew
+    later = nodes.unionByName(spark.createDataFrame([(2, "t", "one short new text", "", [], "topic", 1), (3, "t", "x", "", [], "topic", 0)], schema).withColumn("changed_at", F.lit("2025-02-01").cast("timestamp")))
+    for _ in range(2):  # the same change twice
+        sync.apply(spark.createDataFrame([(2,), (3,), (None,)], "nid long"), later, path, enrich)
+        now = {r.chunk_id: r for r in store.read(spark, path + "/chunks").collect()}
+        assert now["nid_2_c_0"].text == "one short new text" and {r.source_nid for r in now.values()} == {1, 2, 4, 5, 6}
+    empty = build.build_graph(nodes.limit(0), path + "-none", enrich, "m")
+    assert empty.count() == 0
+
+
+def test_shared_folder_without_a_setting(monkeypatch):
+    from types import SimpleNamespace
+
+    from chunkweave import session
+
+    made = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local[2]", applicationId="app-1"))
+    assert session.shared_dir(made) == session.shared_dir(made) and session.shared_dir(made).startswith("file:///")
+    made.sparkContext.master = "spark://x"
+    with pytest.raises(ValueError):
+        session.shared_dir(made)
