@@ -58,8 +58,9 @@ def sink_delete_by_nid(s, d):
 
 
 def get_chunks_by_ids(s, d):
-    """Chunks of a store by id: the first chunk of every node that a collection names; absent ones are silently left out."""
-    asked = table(s, d, "collections").select(F.explode("nids").alias("nid")).where("nid is not null").select(F.concat(F.lit("nid_"), "nid", F.lit("_c_0")).alias("chunk_id"))
+    """Chunks of a store by id: the first ten chunks of every node that a collection names; absent ones are silently left out."""
+    nids = table(s, d, "collections").select(F.explode("nids").alias("nid")).where("nid is not null").distinct()
+    asked = nids.select("nid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select(F.concat(F.lit("nid_"), "nid", F.lit("_c_"), "i").alias("chunk_id"))
     return store.by_ids(store.read(s, _filled(s, d)), asked).select("chunk_id", "source_nid", F.length("text").alias("n_chars"))
 
 
@@ -221,7 +222,7 @@ SQL = {
     "src_fetch_nodes": f"WITH {v.EXPORT} SELECT nid, title, md5(body) AS body_md5, age_range, array_to_string(keywords, '|') AS keywords FROM x",
     "sink_insert": f"WITH {v.CHUNKS} SELECT chunk_id, source_nid, length(text) AS n_chars, len(entities) AS n_entities FROM c",
     "sink_upsert": f"""WITH {v.CHUNKS} SELECT a.chunk_id, a.source_nid, length(a.text) AS n_chars, coalesce('semantic:' || b.chunk_id, '') AS neighbors FROM c a LEFT JOIN c b ON a.source_nid = b.source_nid AND a.idx + 1 = b.idx""",
-    "get_chunks_by_ids": f"WITH {v.CHUNKS}, a AS (SELECT DISTINCT 'nid_' || nid || '_c_0' AS chunk_id FROM (SELECT unnest(nids) AS nid FROM collections)) SELECT chunk_id, source_nid, length(text) AS n_chars FROM c JOIN a USING (chunk_id)",
+    "get_chunks_by_ids": f"WITH {v.CHUNKS}, a AS (SELECT DISTINCT 'nid_' || nid || '_c_' || k AS chunk_id FROM (SELECT unnest(nids) AS nid FROM collections), range(0, 10) x(k)) SELECT chunk_id, source_nid, length(text) AS n_chars FROM c JOIN a USING (chunk_id)",
     "collection_append": "SELECT collection_id, title, 1 AS status, coalesce(array_to_string(nids, ','), '') AS nids FROM collections",
     "cloud_types": f"""WITH {v.CHUNKS}, k AS (SELECT chunk_id, list_transform(list_filter(coalesce(entities, []), lambda e: e.type IN ('PERSON', 'ORG', 'GPE', 'EVENT')), lambda e: e.type || ':' || e.name)[1:150] AS e FROM r)
       SELECT chunk_id, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|') AS entities FROM k""",
