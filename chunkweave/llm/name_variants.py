@@ -33,8 +33,8 @@ FORMS_PER_PIVOT, FAN, CELL = 300, 64, 1_200
 #: Levels at most. Larger cells than ``CELL`` only arise below them where forms crowd at one distance;
 #: they are joined all the same, by distance and length.
 LEVELS = 8
-#: Forms of a cell that a task takes.
-PART = 4_000
+#: Forms of a cell that are placed together, and in one task, about.
+PART = 1_000
 #: Errors in one name that are looked for.
 ERRORS = 2
 
@@ -244,6 +244,8 @@ def cells(forms: DataFrame, radius: int) -> DataFrame:
         pivots = stage(few.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("form").alias("pivot")), "pivots")
         placed = inner.select("cell", F.pmod(F.xxhash64("form", F.lit(3)), F.col("parts")).cast("int").alias("part"), "form", "d", "size", "home")
 
+        tasks = max(1, -(-large.agg(F.sum("every")).first()[0] // PART))  # few bytes, but much work a form
+        placed, pivots = placed.repartition(tasks, "cell", "part"), pivots.repartition(tasks, "cell", "part")
         todo = placed.groupBy("cell", "part").cogroup(pivots.groupBy("cell", "part")).applyInPandas(_placing(level, radius), schema)
         todo = stage(todo, "cells")
     return todo if done is None else done.unionByName(todo)
