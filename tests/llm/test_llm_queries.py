@@ -13,7 +13,12 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    assert QUERIES[name](spark, FOLDER).count() > 0 or name in ("p3_found", "p3_quality")  # 22 nodes have too few labels to train on
+
+
+def test_the_mix_keeps_its_plan(spark):
+    rows = QUERIES["p7_shares"](spark, FOLDER).collect()
+    assert rows and all(0 <= r.mixed <= r.quota_tokens for r in rows) and abs(sum(r.actual_share for r in rows) - 1) < 1e-9
 
 
 def test_columns(spark):
