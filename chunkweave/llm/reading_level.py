@@ -41,6 +41,8 @@ _PRONOUN = frozenset("i you he she it we they me him her us them my your his our
 _TOGETHER = frozenset("however therefore moreover furthermore consequently thus hence nevertheless meanwhile subsequently also finally later first next".split())
 _LEARNED = re.compile(r"(?:tion|tions|ment|ments|ity|ities|ism|ence|ance|ical|ive|ous|ized|izing|ization)$")
 FEATURES = 34
+#: Characters of the texts that are measured together, about.
+TOGETHER = 1_000_000
 
 
 class Words(dict):
@@ -67,68 +69,121 @@ class Words(dict):
             self.facts.append((len(w), len(_VOWELS.findall(w)), *classes, _LEARNED.search(w) is not None, w.endswith("ly"), w in ("the", "a", "an")))
         return self[word]
 
-    def read(self, text: str) -> np.ndarray:
-        """The numbers of the text's words and sentence ends, in order."""
-        if len(self) > self.MOST:  # numbers only have to agree within one text
+    def tidy(self) -> None:
+        """Forget the words if they are many: numbers only have to agree within the texts that are measured together."""
+        if len(self) > self.MOST:
             self.clear()
             self.__init__()
-        ids = np.array([self[w] for w in _TOKEN.findall(text)], np.int64)
+
+    def read(self, text: str) -> np.ndarray:
+        """The numbers of the text's words and sentence ends, in order."""
+        ids = np.fromiter(map(self.__getitem__, _TOKEN.findall(text)), np.int64)
         if len(self.table) < len(self.facts):
             self.table = np.concatenate([self.table, np.array(self.facts[len(self.table) :], float)])
         return ids
 
 
-def _quantiles(values: np.ndarray, at: tuple[float, ...]) -> list[float]:
+class Parts:
+    """Values that lie part after part, ``n`` of them in each, none of which is empty."""
+
+    def __init__(self, n: np.ndarray) -> None:
+        self.n, self.first, self.of = n, np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+
+    def mean(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values.astype(float), self.first) / self.n
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.mean((values - self.mean(values)[self.of]) ** 2))
+
+    def quantiles(self, values: np.ndarray, at: tuple[float, ...]) -> list[np.ndarray]:
+        values = values[np.lexsort((values, self.of))]
+        out = []
+        for q in at:
+            place = q * (self.n - 1)
+            low = place.astype(int)
+            high = np.minimum(low + 1, self.n - 1)
+            out.append(values[self.first + low] + (values[self.first + high] - values[self.first + low]) * (place - low))
+        return out
+
+
+def _different(values: np.ndarray) -> np.ndarray:
+    """The different values, in order (by sorting, which is faster here than hashing)."""
     values = np.sort(values)
-    place = np.array(at) * (len(values) - 1)
-    low = place.astype(int)
-    high = np.minimum(low + 1, len(values) - 1)
-    return list(values[low] + (values[high] - values[low]) * (place - low))
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def _measured(ids: list[np.ndarray], commas: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Texts x features of texts that have a word each, all texts at once."""
+    every = np.concatenate(ids)
+    text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+    is_word = every > 0
+    words = every[is_word]
+    t = Parts(np.bincount(text[is_word]))
+    facts = table[words]
+    size, beats = facts[:, 0], facts[:, 1]
+    out = [t.mean(size), t.spread(size), *(t.mean(size >= k) for k in (5, 7, 9, 11, 13)), t.mean(size <= 3), t.mean(beats), t.mean(beats >= 3), t.mean(beats >= 5)]
+    out += t.quantiles(size, (0.5, 0.75, 0.9, 0.97))
+    # the spread over stretches of 40 words: texts mix levels
+    p = Parts(np.maximum(1, t.n // 40))
+    begin = t.first[p.of] + ((np.arange(len(p.of)) - p.first[p.of]) * (t.n / p.n)[p.of]).astype(int)
+    hard = np.add.reduceat((size >= 9).astype(float), begin) / np.diff(np.append(begin, len(words)))
+    out += [*p.quantiles(hard, (0.1, 0.5, 0.9)), p.spread(hard)]
+    ended = (np.cumsum(~is_word) + text)[is_word]  # grows where a sentence or a text ends
+    sentence = np.concatenate([[0], np.cumsum(ended[1:] != ended[:-1])])
+    lengths = np.bincount(sentence)
+    owner = t.of[np.cumsum(lengths) - lengths]
+    s = Parts(np.bincount(owner))
+    out += [s.mean(lengths), *s.quantiles(lengths.astype(float), (0.25, 0.5, 0.9)), s.spread(lengths), 100 * commas / t.n]
+    out += [t.mean(facts[:, c]) for c in range(2, 8)]
+    # different words of stretches of 60, then long words that a sentence shares with the next, as (place, word) numbers
+    wide = len(table)
+    r = Parts(-(-t.n // 60))
+    stretch = r.first[t.of] + (np.arange(len(words)) - t.first[t.of]) // 60
+    out.append(r.mean(np.bincount(_different(stretch * wide + words) // wide) / np.bincount(stretch)))
+    long = size > 3
+    said = _different(sentence[long] * wide + words[long])
+    shared, pairs = np.zeros(len(ids)), np.zeros(len(ids))
+    if len(said):
+        different = np.bincount(said // wide, minlength=len(lengths))
+        next_ = said[np.minimum(np.searchsorted(said, said + wide), len(said) - 1)] == said + wide
+        both = np.bincount(said[next_] // wide, minlength=len(lengths))[:-1]
+        less = np.minimum(different[:-1], different[1:])
+        ok = (less > 0) & (owner[:-1] == owner[1:])
+        shared = np.bincount(owner[:-1][ok], both[ok] / less[ok], len(ids))
+        pairs = np.bincount(owner[:-1][ok], minlength=len(ids))
+    out += [shared / np.maximum(pairs, 1), t.mean(facts[:, 8])]
+    return np.stack(out, axis=1)
 
 
-def measures(text: str, known: Words | None = None) -> tuple[int, list[float]]:
-    """(words, features) of a text: words as white space parts them, 0 where no part is a word.
+def measures(texts: list[str], known: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(words, features) of each text: words as white space parts them, 0 where no part is a word.
 
-    The features leave out markup, entities and bracketed references.
+    The features leave out markup, entities and bracketed references. Texts are measured together
+    in groups of about ``TOGETHER`` characters.
     """
     known = Words() if known is None else known
-    size_of = len(text.split())
-    text = _TAG.sub(" ", html.unescape(text))
-    ids = known.read(text)
-    ends = np.nonzero(ids == 0)[0]
-    words = ids[ids > 0]
-    n = len(words)
-    if not n:
-        return 0, [0.0] * FEATURES
-    facts = known.table[words]
-    size, beats = facts[:, 0], facts[:, 1]
-    out = [size.mean(), size.std(), *(np.mean(size >= k) for k in (5, 7, 9, 11, 13)), np.mean(size <= 3), beats.mean(), np.mean(beats >= 3), np.mean(beats >= 5)]
-    out += _quantiles(size, (0.5, 0.75, 0.9, 0.97))
-    # the spread over stretches of 40 words: texts mix levels
-    starts = np.linspace(0, n, max(1, n // 40) + 1).astype(int)[:-1]
-    hard = np.add.reduceat((size >= 9).astype(float), starts) / np.diff(np.append(starts, n))
-    out += [*_quantiles(hard, (0.1, 0.5, 0.9)), hard.std()]
-    at = [0, *(ends - np.arange(len(ends))), n]  # word positions at which sentences end
-    spans = [(a, b) for a, b in zip(at, at[1:]) if b > a]
-    lengths = np.array([b - a for a, b in spans], float)
-    out += [lengths.mean(), *_quantiles(lengths, (0.25, 0.5, 0.9)), lengths.std(), 100 * text.count(",") / n]
-    out += list(facts[:, 2:8].mean(axis=0))
-    plain = words.tolist()
-    out.append(float(np.mean([len(set(x)) / len(x) for x in (plain[i : i + 60] for i in range(0, n, 60))])))
-    long = (size > 3).tolist()
-    sets = [{w for w, keep in zip(plain[a:b], long[a:b]) if keep} for a, b in spans]
-    shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:]) if a and b]
-    out += [float(np.mean(shared)) if shared else 0.0, facts[:, 8].mean()]
-    return size_of, [float(x) for x in out]
+    n_words, features = np.zeros(len(texts), np.int64), np.zeros((len(texts), FEATURES))
+    at, ids, commas, held = [], [], [], 0
+    known.tidy()
+    for i, text in enumerate(texts):
+        plain = _TAG.sub(" ", html.unescape(text))
+        read = known.read(plain)
+        if read.any():
+            n_words[i] = len(text.split())
+            at.append(i), ids.append(read), commas.append(plain.count(","))
+            held += len(text)
+        if at and (held > TOGETHER or i == len(texts) - 1):
+            features[at] = _measured(ids, np.array(commas), known.table)
+            at, ids, commas, held = [], [], [], 0
+            known.tidy()
+    return n_words, features
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = Words()
     for pdf in batches:
-        rows = [measures(t, known) for t in pdf["text"]]
-        yield pd.DataFrame({
-            "key": pdf["key"], "source": pdf["source"], "label": pdf["label"], "n_words": [r[0] for r in rows], "features": [r[1] for r in rows],
-        })
+        n_words, features = measures(list(pdf["text"]), known)
+        yield pd.DataFrame({"key": pdf["key"], "source": pdf["source"], "label": pdf["label"], "n_words": n_words, "features": list(features)})
 
 
 def calibrate(counts: list[tuple[float, int, int]], levels: int) -> list[float]:

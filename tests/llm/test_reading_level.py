@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from chunkweave.llm import reading_level as rl
 
 EASY = "the dog ran to a big red bus and we sat by it all day so mum had fun".split()
@@ -51,7 +53,13 @@ def test_too_few_labels_and_empty(spark):
 
 
 def test_measures_and_cuts():
-    n, f = rl.measures("One&nbsp;two <b>three</b> [cf. fol. 1]. Four!")
-    assert n == 6 and len(f) == rl.FEATURES and rl.measures("")[0] == 0 and rl.measures("<b> 12 </b>")[0] == 0  # words as white space parts them
+    texts = ["One&nbsp;two <b>three</b> [cf. fol. 1]. Four!", "", "<b> 12 </b>", "Plain words. More plain words here.\n\nMore."]
+    n, f = rl.measures(texts)
+    assert n.tolist() == [6, 0, 0, 7] and f.shape == (4, rl.FEATURES) and not f[1:3].any()
+    together = rl.Words()
+    for i, text in enumerate(texts):  # a text's figures don't depend on its company
+        assert np.allclose(rl.measures([text], together)[1][0], f[i])
+    assert np.isclose(f[3][19], 7 / 3) and np.isclose(f[3][31], 4 / 7) and np.isclose(f[3][32], 1)  # words a sentence; different ones; long ones that the next shares
+    assert rl.measures([])[1].shape == (0, rl.FEATURES)  # words as white space parts them
     cuts = rl.calibrate([(0.0, 0, 9), (0.2, 1, 1), (1.0, 1, 9), (2.0, 2, 5), (2.1, 0, 1)], 3)
     assert 0.0 <= cuts[0] < 0.2 and 1.0 <= cuts[1] < 2.0  # the fewest labels on the wrong side: one each
