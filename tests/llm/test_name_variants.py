@@ -122,3 +122,19 @@ def test_near_forms_at_two_edits(spark, monkeypatch):
     forms = sorted({"".join(rnd.choice("abcd ") for _ in range(rnd.randint(3, 9))) for _ in range(250)})
     got = {(r.a, r.b, r.d) for r in nv.near_forms(spark.createDataFrame([(f,) for f in forms], "form string"), 2).collect()}
     assert got == {(a, b, d) for i, a in enumerate(forms) for b in forms[i + 1 :] if (d := nv.distance(a, b)) <= 2}
+
+
+def test_replicas_reach_one_radius_beyond_the_nearest_pivot(spark, monkeypatch):
+    monkeypatch.setattr(nv, "FORMS_PER_PIVOT", 20)
+    rnd = random.Random(8)
+    stem = lambda: "".join(rnd.choice(x) for x in ("bdfghklm", "aeiou", "lmnrst", "bdgkpt", "aiou"))
+    forms = sorted({f"{rnd.choice(['robert', 'walter', 'zoë'])} {stem()}{rnd.choice(['ster', 'quist'])}" for _ in range(500)} | {"x" * 70, "x" * 71 + "y", "", "日本", "本日"})
+    df = spark.createDataFrame([(f,) for f in forms], "form string")
+    reach = {}
+    for r in nv.cells(df, 2).collect():
+        reach.setdefault(r.form, []).append(r.d)
+    assert sorted(reach) == forms and max(map(len, reach.values())) > 1
+    assert all(max(d) - min(d) <= 2 for d in reach.values())  # twice the radius before: a crowd was in nearly all cells
+    d = nv.distances(forms, forms)
+    want = {(a, b, int(d[i, j])) for i, a in enumerate(forms) for j, b in enumerate(forms) if a < b and d[i, j] <= 2}
+    assert {tuple(r) for r in nv.near_forms(df, 2).collect()} == want and ("日本", "本日", 1) in want and ("x" * 70, "x" * 71 + "y", 2) in want
